@@ -187,7 +187,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _suspect_texts(spark, docs, text_col, _bit_table(suspects, bits), bits)
     verified = texts.groupBy("body").agg(F.count("*").alias("group_size")).where("group_size > 1").select(F.unhex(F.sha2("body", 256)).alias("digest"), "group_size")
     best = suspects.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("best"))
-    groups = verified.join(best, "digest")
+    # Of its own exchange, so that the join below can split the rows of a hot digest.
+    groups = checkpointed(verified.join(best, "digest"))
     return rows.join(groups, "digest", "left").select(
         "doc_id",
         F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
