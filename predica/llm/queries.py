@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, packing, simhash, toxicity
+from . import exact_dedup, media, packing, simhash, source_mix, toxicity
 from .common import table
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_pack, op7_exact_dedup, op8_simhash, op9_toxicity, op10_media)}
+    return {f.__name__: f for f in (op2_source_mix, op4_pack, op7_exact_dedup, op8_simhash, op9_toxicity, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
