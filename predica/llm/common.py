@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A bit table has at most 2**MAX_TABLE_BITS bits: 16 MB.
+MAX_TABLE_BITS = 27
 #: One word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -48,3 +51,22 @@ def word_count(col: Column) -> Column:
 def hex64(col: Column) -> Column:
     """16 lowercase hex digits of a bigint's 64 bits."""
     return F.lower(F.lpad(F.hex(col), 16, "0"))
+
+
+def bit_table(hashes: DataFrame, column: str) -> np.ndarray:
+    """A set of bits: bit i is set if one of the 64-bit hashes begins with i. Its size follows the number of hashes up to
+    2**MAX_TABLE_BITS bits, so it may be broadcast at any size of the input; beyond, more hashes seem to be in it."""
+    n = hashes.count()
+    bits = max(16, min(MAX_TABLE_BITS, 3 + max(1, n).bit_length()))
+    slot = f"shiftrightunsigned({column}, {64 - bits})"
+    words = hashes.select(F.expr(f"shiftrightunsigned({slot}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("bit"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out[found.column("word").to_numpy()] = found.column("bit").to_numpy()
+    return out
+
+
+def in_bit_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether uint64 hashes may be among those of a bit table."""
+    slots = hashes >> np.uint64(64 - (len(table) * 64 - 1).bit_length())
+    return ((table[(slots >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (slots & np.uint64(63))) & np.uint64(1)).astype(bool)

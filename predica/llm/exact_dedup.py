@@ -9,7 +9,7 @@
 4. A run marks its suspects from the bitmaps.
 5. Only suspects' texts are shuffled. They are grouped by their bytes, with partial aggregation before the shuffle, so
    a group that holds a third of all rows sends one text a task. Scan tasks recognise suspects by a bit table of at most
-   2**MAX_TABLE_BITS bits, the only thing that is broadcast; a false hit there forms a group of one.
+   2**27 bits, the only thing that is broadcast; a false hit there forms a group of one.
 
 Defined cases: null text counts as empty; empty texts are equal to each other; a null id sorts below all others; of rows
 that repeat the largest id one stays; an empty table gives an empty result; other columns are ignored.
@@ -28,11 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_partitions
+from .common import bit_table, checkpointed, in_bit_table, shuffle_partitions
 
 #: At most so many fingerprints in a run; a scan partition with more rows makes several.
 RUN_ROWS = 1 << 19
-MAX_TABLE_BITS = 27
 
 
 def golomb_encode(values: np.ndarray, low: int) -> tuple[int, bytes]:
@@ -150,25 +149,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return checkpointed(marked)
 
 
-def _bit_table(suspects: DataFrame, bits: int) -> np.ndarray:
-    """Bit i is set if a suspect's fingerprint begins with i; at most 2**bits bits reach the driver."""
-    slot = F.shiftrightunsigned("fp", 64 - bits)
-    words = suspects.select(F.shiftrightunsigned(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {64 - bits}) & 63 as int))").alias("bit"))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out[found.column("word").to_numpy()] = found.column("bit").to_numpy()
-    return out
-
-
-def _suspect_texts(spark, docs: DataFrame, text_col: str, table: np.ndarray, bits: int) -> DataFrame:
+def _suspect_texts(spark, docs: DataFrame, text_col: str, table: np.ndarray) -> DataFrame:
     shared = spark.sparkContext.broadcast(table)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
         for batch in batches:
             texts = normalised(batch.column("text"))
-            slots = np.fromiter((xxhash.xxh64_intdigest(x) for x in texts), np.uint64, len(texts)) >> np.uint64(64 - bits)
-            hit = (words[(slots >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (slots & np.uint64(63))) & np.uint64(1)
+            hit = in_bit_table(shared.value, np.fromiter((xxhash.xxh64_intdigest(x) for x in texts), np.uint64, len(texts)))
             yield pa.RecordBatch.from_arrays([pa.array([texts[i] for i in np.flatnonzero(hit)], pa.binary())], names=["body"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(keep, "body binary")
@@ -182,9 +169,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     rows = fingerprints(docs, id_col, text_col)
     suspects = rows.where("suspect")
-    n = suspects.count()
-    bits = max(16, min(MAX_TABLE_BITS, 3 + max(1, n).bit_length()))
-    texts = _suspect_texts(spark, docs, text_col, _bit_table(suspects, bits), bits)
+    texts = _suspect_texts(spark, docs, text_col, bit_table(suspects, "fp"))
     verified = texts.groupBy("body").agg(F.count("*").alias("group_size")).where("group_size > 1").select(F.unhex(F.sha2("body", 256)).alias("digest"), "group_size")
     best = suspects.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("best"))
     # Of its own exchange, so that the join below can split the rows of a hot digest.

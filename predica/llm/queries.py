@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, media, packing, simhash, source_mix, toxicity, url_rules
+from . import chat_format, exact_dedup, media, packing, simhash, source_mix, suffix_dedup, toxicity, url_rules
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -62,7 +66,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mix, op3_url_rules, op4_pack, op6_chat_format, op7_exact_dedup, op8_simhash, op9_toxicity, op10_media)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_url_rules, op4_pack, op6_chat_format, op7_exact_dedup, op8_simhash, op9_toxicity, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
