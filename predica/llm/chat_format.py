@@ -66,12 +66,13 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     leaves = done.join(replied, done["tree"].eqNullSafe(F.col("t")) & (done["node"] == F.col("u")), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("length").desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
-    path = checkpointed(chosen.select("tree", "rank", F.col("node").alias("leaf"), "score", "length", "node", (F.col("length") - 1).alias("place")))
+    path = chosen.select("tree", "rank", F.col("node").alias("leaf"), "score", "length", "node", (F.col("length") - 1).alias("place"))
     for k in range(len(rounds) - 1, -1, -1):
         up = rounds[k].where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"))
-        step = path.join(up, path["tree"].eqNullSafe(F.col("t")) & (path["node"] == F.col("n")))
-        more = step.select("tree", "rank", "leaf", "score", "length", F.col("u").alias("node"), (F.col("place") - (1 << k)).alias("place"))
-        path = checkpointed(path.union(more)) if k % 4 == 0 else path.union(more)
+        step = path.join(up, path["tree"].eqNullSafe(F.col("t")) & (path["node"] == F.col("n")), "left")
+        here, there = F.struct("node", "place"), F.struct(F.col("u").alias("node"), (F.col("place") - (1 << k)).alias("place"))
+        both = step.withColumn("at", F.explode(F.when(F.col("u").isNull(), F.array(here)).otherwise(F.array(here, there))))
+        path = both.select("tree", "rank", "leaf", "score", "length", "at.node", "at.place")
     return path
 
 
