@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, media, packing, simhash, source_mix, suffix_dedup, toxicity, url_rules
+from . import chat_format, exact_dedup, license_scan, media, packing, simhash, source_mix, suffix_dedup, toxicity, url_rules
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(spark, table(spark, sf_dir, "conversations"))
 
@@ -66,7 +70,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_url_rules, op4_pack, op6_chat_format, op7_exact_dedup, op8_simhash, op9_toxicity, op10_media)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_url_rules, op4_pack, op5_license_scan, op6_chat_format, op7_exact_dedup, op8_simhash, op9_toxicity, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
