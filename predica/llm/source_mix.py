@@ -119,11 +119,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Where a reading ends inside a text (once in a source and epoch), the row has the text's first words only, joined by
     spaces.
     """
-    parts = mix(docs, id_col, text_col, source_col, weights, most).where("taken > 0")
-    parts = parts.groupBy("doc_id", "source", "body", "size").agg(F.flatten(F.collect_list("parts")).alias("parts"))
-    keyed = docs.withColumn("_body", F.xxhash64(F.col(text_col)))
-    rows = keyed.dropDuplicates([id_col, source_col, "_body"])
-    joined = rows.join(parts.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("body").alias("_body2"), F.col("size").alias("_size"), "parts"), F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_body") == F.col("_body2")))
+    key = [id_col, source_col, "_body"]
+    rows = docs.withColumn("_body", F.xxhash64(F.col(text_col)))
+    parts = checkpointed(mix(docs, id_col, text_col, source_col, weights, most).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("body").alias("_same"), F.col("size").alias("_size"), "parts"))
+    if not parts.groupBy("_id", "_source", "_same").count().where("count > 1").isEmpty():  # rows that repeat in all of it
+        rows = rows.dropDuplicates(key)
+    joined = rows.join(parts, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_body") == F.col("_same")))
     read = joined.withColumn("_words", F.explode("parts"))
     cut = F.array_join(F.slice(F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("_words").cast("int")), " ")
     return read.withColumn(text_col, F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col(text_col))).select(*docs.columns)

@@ -403,15 +403,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """The columns `keep` (default: the id) of each row with its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or [id_col]
+    at = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            scores = np.concatenate([own.scores(batch.column(len(keep)).slice(a, 256).to_pylist()) for a in range(0, max(1, batch.num_rows), 256)])
+            scores = np.concatenate([own.scores(batch.column(at).slice(a, 256).to_pylist()) for a in range(0, max(1, batch.num_rows), 256)])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=names)
 
     names = [f"c{i}" for i in range(len(keep))] + ["score"]
-    chosen = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(text_col).alias("words"))
+    chosen = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), *([F.col(text_col).alias("words")] * (at == len(keep))))
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names)) + ", score double"
     return chosen.mapInArrow(run, schema).toDF(*keep, "score")
 
