@@ -51,9 +51,11 @@ def jumps(nodes: DataFrame) -> list[DataFrame]:
     now = checkpointed(linked.select("tree", "node", F.col("p").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), F.lit(1).cast("long").alias("length")))
     rounds, most = [now], max(1, now.count()).bit_length() + 1
     while len(rounds) <= most and not now.where("up IS NOT NULL").isEmpty():
-        above = now.toDF("t", "n", "u", "s", "l")
-        joined = now.join(above, now["tree"].eqNullSafe(F.col("t")) & (now["up"] == F.col("n")), "left")
-        now = checkpointed(joined.select("tree", "node", F.col("u").alias("up"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("l", F.lit(0))).alias("length")))
+        # Messages that have come to their root stay as they are; only the others are joined.
+        going, above = now.where("up IS NOT NULL"), now.toDF("t", "n", "u", "s", "l")
+        joined = going.join(above, going["tree"].eqNullSafe(F.col("t")) & (going["up"] == F.col("n")))
+        moved = joined.select("tree", "node", F.col("u").alias("up"), (F.col("score") + F.col("s")).alias("score"), (F.col("length") + F.col("l")).alias("length"))
+        now = checkpointed(now.where("up IS NULL").union(moved))
         rounds.append(now)
     return rounds
 

@@ -31,7 +31,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
             context.setCheckpointDir(tempfile.mkdtemp(prefix="predica-checkpoint-"))
-    return df.checkpoint(eager=True)
+    # A checkpoint can't resolve the columns of the partitioning that a union may report.
+    key = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
