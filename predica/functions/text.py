@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def number_text(col: Column) -> Column:
-    """A double as plan.ir.plain_number() writes it: shortest digits, never scientific, no trailing zeros; null is null."""
+    """A double as plans.ir.plain_number() writes it: shortest digits, never scientific, no trailing zeros; null is null.
+
+    The digits are the JVM's, which writes one digit too many for some numbers before Java 19 (as 4.9E-324).
+    """
     x = col.cast("double")
     text = F.abs(x).cast("string")
     mantissa, exponent = F.substring_index(text, "E", 1), F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?\d+)$", 1), F.lit("")).cast("int"), F.lit(0))

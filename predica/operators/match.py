@@ -1,7 +1,7 @@
 """Matching: which rules hold for which rows.
 
 Two plans give the same result. `columns` lowers each rule to a boolean column: everything stays in generated code, for
-up to COLUMN_RULES rules. `bitmaps` is for many rules: an Arrow batch's columns are read once, each distinct leaf of all
+up to COLUMN_RULES rules (above, generated code grows out of what is compiled). `bitmaps` is for many rules: an Arrow batch's columns are read once, each distinct leaf of all
 rules is evaluated once over the batch (text leaves once for each distinct value), and rules combine the leaves' bitmaps
 eight rows a byte. Only the fields that rules read are scanned; neither plan shuffles.
 """
@@ -16,7 +16,7 @@ from ..plans.lower import Lowering
 from . import bitmaps
 from .rules import RuleSet
 
-COLUMN_RULES = 100
+COLUMN_RULES = 8
 
 
 def matched_ids(df: DataFrame, rules: RuleSet, variant: str | None = None) -> Column:

@@ -14,7 +14,7 @@ from ..sources import io
 
 def match_stream(rows: DataFrame, rules: RuleSet, keys: list[str]) -> DataFrame:
     """(keys, rule_ids) of each row of a stream; stateless, so it has no state store and no watermark."""
-    return match_wide(rows, rules, keys, mode="columns")
+    return match_wide(rows, rules, keys)
 
 
 class RuleFile:
