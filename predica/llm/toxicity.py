@@ -78,6 +78,11 @@ class _Grams:
                 yield at, _bucket(h[at] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF))
 
 
+def _parts(words: list[bytes], size: int = 40_000) -> Iterator[tuple[int, _Grams]]:
+    for at in range(0, len(words), size):
+        yield at, _Grams(words[at : at + size])
+
+
 def _evidence(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """Signed log(1 + root of the log-likelihood ratio) of counts in toxic and clean documents."""
     share = toxic.sum() / max(1.0, toxic.sum() + clean.sum())
@@ -316,31 +321,48 @@ def train(texts: list[str | None], labels: list[int], share: float | None = None
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), None, np.zeros(3), share)
     vocabulary: dict[bytes, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
+    words = list(vocabulary)
+    del vocabulary
     fold = np.random.default_rng(seed).permutation(len(docs)) % FOLDS
-    grams = _Grams(list(vocabulary))
-    counts = np.zeros((FOLDS, 2, len(vocabulary)))
+    counts = np.zeros((FOLDS, 2, len(words)), np.int32)
     for ids, k, label in zip(docs, fold, y):
         counts[k, int(label), np.unique(ids)] += 1
-    del vocabulary
-    pieces = [(at, bucket, np.repeat(np.arange(len(grams.lengths)), grams.lengths)[at]) for at, bucket in grams]
-
-    def tables(by_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        words = [np.bincount(grams.words, by_class[c], size) for c in (1, 0)]
-        n_grams = [sum(np.bincount(bucket, by_class[c][owner], size) for _, bucket, owner in pieces) for c in (1, 0)]
-        return _evidence(*words), _evidence(*n_grams)
-
-    inputs = {k: _inputs(grams, *tables(counts.sum(axis=0) - counts[k])) for k in range(FOLDS)}
-    tabled = tables(counts.sum(axis=0))
-    del pieces, grams
-    features = [inputs[k][ids] for ids, k in zip(docs, fold)]
-    del inputs, docs
-    starts = [np.array(window_starts(len(f))) for f in features]
-    offset = np.cumsum([0, *(len(f) for f in features)])
+    # By fold and class, in parts of the vocabulary, so that no part's n-grams take much memory.
+    tallies = np.zeros((2, FOLDS, 2, size), np.float32)
+    for at, grams in _parts(words):
+        own = counts[:, :, at : at + len(grams.lengths)]
+        owner = np.repeat(np.arange(len(grams.lengths), dtype=np.int32), grams.lengths)
+        for k in range(FOLDS):
+            for c in range(2):
+                tallies[0, k, c] += np.bincount(grams.words, own[k, c], size)
+        for where, bucket in grams:
+            for k in range(FOLDS):
+                for c in range(2):
+                    seen = own[k, c][owner[where]]
+                    some = np.flatnonzero(seen)
+                    tallies[1, k, c] += np.bincount(bucket[some], seen[some], size)
+
+    def tables(without: int | None) -> tuple[np.ndarray, np.ndarray]:
+        kept = [k for k in range(FOLDS) if k != without]
+        return tuple(_evidence(*(t[kept, c].sum(axis=0, dtype=np.float64) for c in (1, 0))) for t in tallies)
+
+    folds, tabled = [tables(k) for k in range(FOLDS)], tables(None)
+    del tallies, counts
+    inputs = np.zeros((FOLDS, len(words), INPUTS), np.float32)
+    for at, grams in _parts(words):
+        for k in range(FOLDS):
+            inputs[k, at : at + len(grams.lengths)] = _inputs(grams, *folds[k])
+    features = [inputs[k, ids] for ids, k in zip(docs, fold)]
+    del inputs, docs, words, folds
+    sizes = np.array([len(f) for f in features])
     flat = np.concatenate(features)
+    del features
+    starts = [np.array(window_starts(n)) for n in sizes]
+    offset = np.concatenate(([0], np.cumsum(sizes)))
     first = np.concatenate([o + s for o, s in zip(offset, starts)])
     count = np.array([len(s) for s in starts])
     owner = np.repeat(np.arange(len(starts)), count)
-    length = np.minimum(np.repeat([len(f) for f in features], count), WINDOW)
+    length = np.minimum(np.repeat(sizes, count), WINDOW)
     network, rng = Network(seed), np.random.default_rng(seed)
     model = Model(*tabled, network, np.array([0.0, 1.0, 0.0]), share)
     adam = _Adam(network.p, 0.02)
