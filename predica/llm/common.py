@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until no column of df has one of them, in any case of letters."""
+    taken, front = {c.lower() for c in df.columns}, "_"
+    while any((front + n).lower() in taken for n in names):
+        front += "_"
+    return [front + n for n in names]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the cluster's shared checkpoint folder.
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, word_count
+from .common import checkpointed, unused, word_count
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -119,12 +119,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Where a reading ends inside a text (once in a source and epoch), the row has the text's first words only, joined by
     spaces.
     """
-    key = [id_col, source_col, "_body"]
-    rows = docs.withColumn("_body", F.xxhash64(F.col(text_col)))
-    parts = checkpointed(mix(docs, id_col, text_col, source_col, weights, most).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("body").alias("_same"), F.col("size").alias("_size"), "parts"))
-    if not parts.groupBy("_id", "_source", "_same").count().where("count > 1").isEmpty():  # rows that repeat in all of it
-        rows = rows.dropDuplicates(key)
-    joined = rows.join(parts, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_body") == F.col("_same")))
-    read = joined.withColumn("_words", F.explode("parts"))
-    cut = F.array_join(F.slice(F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("_words").cast("int")), " ")
-    return read.withColumn(text_col, F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col(text_col))).select(*docs.columns)
+    body, own_id, own_source, own_body, size, parts, words = unused(docs, "body", "own_id", "own_source", "own_body", "size", "parts", "words")
+    rows = docs.withColumn(body, F.xxhash64(F.col(text_col)))
+    taken = checkpointed(mix(docs, id_col, text_col, source_col, weights, most).where("taken > 0").select(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("body").alias(own_body), F.col("size").alias(size), F.col("parts").alias(parts)))
+    if not taken.groupBy(own_id, own_source, own_body).agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():  # rows that repeat in all of it
+        rows = rows.dropDuplicates([id_col, source_col, body])
+    joined = rows.join(taken, F.col(id_col).eqNullSafe(F.col(own_id)) & F.col(source_col).eqNullSafe(F.col(own_source)) & (F.col(body) == F.col(own_body)))
+    read = joined.withColumn(words, F.explode(parts))
+    cut = F.array_join(F.slice(F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col(words).cast("int")), " ")
+    return read.withColumn(text_col, F.when(F.col(words) < F.col(size), cut).otherwise(F.col(text_col))).select(*docs.columns)
