@@ -162,7 +162,7 @@ class Lowering:
                     whole = [int(t) for t in own if "." not in t and abs(int(t)) < _EXACT]
                     if len(whole) == sum("." not in t for t in own):
                         return o.raw.isin(whole) if whole else F.when(o.raw.isNotNull(), F.lit(False))
-                else:
+                elif "0" not in own:  # a double may be -0, whose text is another
                     return o.number.isin([float(t) for t in own]) if own else F.when(o.raw.isNotNull(), F.lit(False))
         return o.text.isin(texts) if texts else F.when(o.raw.isNotNull(), F.lit(False))
 
