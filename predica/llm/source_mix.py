@@ -79,9 +79,9 @@ def schedule(sources: DataFrame, slots: int, block: int, most: int = MOST) -> Da
 def positions(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Each row with its source's figures and `start`, its first word's place in the source's shuffled stream."""
     joined = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop(sources.source)
-    spread = F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1 << 31))
+    spread = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 7), 16, 10).cast("long")
     buckets = F.expr(f"n_rows div {BUCKET_ROWS} + 1")
-    dealt = joined.withColumn("spread", spread).withColumn("bucket", F.shiftright(F.col("spread") * buckets, 31))
+    dealt = joined.withColumn("spread", spread).withColumn("bucket", F.shiftright(F.col("spread") * buckets, 28))
     own = Window.partitionBy("sid", "bucket").orderBy("spread", "doc_id", "body", "size").rowsBetween(Window.unboundedPreceding, 0)
     totals = dealt.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     earlier = totals.select("sid", "bucket", (F.sum("words").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("words")).alias("earlier"))
