@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.emit import emit
 from ..plans.ir import Between, Compare, In, IsNull, Like, Logic, Node, Not, Value
-from ..plans.lower import Lowering
+from ..plans.lower import Lowering, WalkerLowering
 from .rules import RuleSet
 
 REASONS = "array<struct<expr:string,detail:string>>"
@@ -18,10 +18,10 @@ def _literal(v: Value) -> str:
 
 
 class Explainer:
-    """Reasons as columns; `passed` is the same truth that matching uses."""
+    """Reasons as columns; `passed` is the same truth that matching uses, unless compat is `ast` (see WalkerLowering)."""
 
-    def __init__(self, df: DataFrame, variant: str | None = None):
-        self.lowering = Lowering(df, variant)
+    def __init__(self, df: DataFrame, variant: str | None = None, compat: str = "vm"):
+        self.lowering = {"vm": Lowering, "ast": WalkerLowering}[compat](df, variant)
 
     def passed(self, node: Node) -> Column:
         return self.lowering.predicate(node)
@@ -60,18 +60,18 @@ class Explainer:
         return F.concat(F.lit(f"{leaf.field}="), shown, F.lit(tail))
 
 
-def explain(df: DataFrame, node: Node, keys: list[str], variant: str | None = None) -> DataFrame:
+def explain(df: DataFrame, node: Node, keys: list[str], variant: str | None = None, compat: str = "vm") -> DataFrame:
     """(keys, passed, reasons) of each row."""
-    e = Explainer(df, variant)
+    e = Explainer(df, variant, compat)
     return df.select(*keys, e.passed(node).alias("passed"), e.reasons(node).alias("reasons"))
 
 
-def gate(df: DataFrame, rules: RuleSet, keys: list[str], with_reasons: bool = True, variant: str | None = None) -> DataFrame:
+def gate(df: DataFrame, rules: RuleSet, keys: list[str], with_reasons: bool = True, variant: str | None = None, compat: str = "vm") -> DataFrame:
     """(keys, total_rules, passed_count, failed_count, passed, passed_rule_ids, failed_rule_ids, failed) of each row.
 
     A row passes if there is a rule and every rule holds; failed has (rule_id, name, rule, reasons).
     """
-    e = Explainer(df, variant)
+    e = Explainer(df, variant, compat)
     ids = lambda want: F.array_compact(F.array(*(F.when(e.passed(p.node) if want else ~e.passed(p.node), F.lit(p.id).cast("long")) for p in rules))) if len(rules) else F.array().cast("array<bigint>")
     out = df.select(*keys, F.lit(len(rules)).alias("total_rules"), ids(True).alias("passed_rule_ids"), ids(False).alias("failed_rule_ids"), *([_failed(e, rules).alias("failed")] if with_reasons else []))
     passed, failed = F.size("passed_rule_ids"), F.size("failed_rule_ids")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import number_text
-from .ir import Between, Compare, In, IsNull, Like, Logic, Node, Not, Value, check, plain_number, positive
+from .ir import Between, Compare, In, IsNull, Like, Logic, Node, Not, RuleError, Value, check, plain_number, positive
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _EXACT = 2**53
@@ -174,3 +174,52 @@ def _apply(op: str, a: Column, b: Column) -> Column:
 def filter_rows(df: DataFrame, node: Node) -> DataFrame:
     """The rows for which the rule holds."""
     return df.where(Lowering(df).condition(node))
+
+
+class WalkerLowering(Lowering):
+    """The other reading of rules, for callers that depend on it: explanations only, never matching.
+
+    A missing value is empty text in comparisons, IN and LIKE; a number literal that meets text is compared as it is
+    written; ranges may have bounds in quotes; `==` never holds; a nested value isn't null.
+    """
+
+    def __init__(self, df: DataFrame | None = None, variant: str | None = None, hidden: Iterable[str] = ()):
+        super().__init__(df, variant, hidden)
+        self.nested = set() if df is None or variant else {f.name for f in df.schema.fields if f.name not in self.operands}
+
+    def predicate(self, node: Node) -> Column:
+        if isinstance(node, (Logic, Not)):
+            return super().predicate(node)
+        leaf, negated = positive(node)
+        o = self.operand(leaf.field)
+        said = F.coalesce(self._walk(leaf, o), F.lit(False))
+        return ~said if negated else said
+
+    def _walk(self, leaf: Node, o: Operand | None) -> Column:
+        text = F.coalesce(o.text, F.lit("")) if o else F.lit("")
+        number = o.number if o and o.number is not None else F.lit(None).cast("double")
+        match leaf:
+            case IsNull(field):
+                if o is None:
+                    return F.col(f"`{field}`").isNull() if field in self.nested else F.lit(True)
+                return o.missing
+            case Compare(_, "==", _):
+                return F.lit(False)
+            case Compare(_, op, value):
+                as_text = _apply(op, text, F.lit(value.text))
+                if value.is_string:
+                    return as_text
+                numeric = _apply(op, number, F.lit(value.number))
+                return F.when(number.isNotNull(), numeric & ~F.isnan(number) if op in (">", ">=") else numeric).otherwise(as_text)
+            case Between(_, low, high):
+                try:
+                    bounds = [Value(v.text).number for v in (low, high)]
+                except RuleError:
+                    return F.lit(False)
+                return number.between(*bounds) & ~F.isnan(number)
+            case In(_, values):
+                return text.isin([v.text for v in values]) if values else F.lit(False)
+            case Like():
+                core = F.lit(leaf.core if leaf.kind != "equals" else leaf.pattern)
+                return {"prefix": F.startswith, "suffix": F.endswith, "contains": F.contains, "equals": lambda a, b: a == b}[leaf.kind](text, core)
+        raise TypeError(leaf)

@@ -156,6 +156,7 @@ _add(
       FROM {_CUSTOMER})
     SELECT c_custkey, w1 IS NULL AND w2 IS NULL AND w3 IS NULL AND w4 IS NULL AS passed, concat_ws(' | ', w1, w2, w3, w4) AS why FROM r""",
 )
+_add("explain_walker", lambda spark, d: ex.explain(customers(spark, d), frontends.parse("c_acctbal < 30 AND c_mktsegment != 'FURNITURE' AND NOT (c_nationkey == 3)"), ["c_custkey"], compat="ast").select("c_custkey", "passed"), f"SELECT c_custkey, CASE WHEN c_acctbal IS NULL THEN '' < '30' ELSE c_acctbal < 30 END AND coalesce(c_mktsegment, '') <> 'FURNITURE' AS passed FROM {_CUSTOMER}")
 _TABLE = {"name": "t", "id_base": 7000, "rows": [{"name": "r0", "priority": 1, "when": [{"field": "c_nationkey", "op": "between", "values": [1, 8]}, {"field": "c_acctbal", "op": ">=", "value": -100}]}, {"name": "off", "enabled": False, "when": [{"field": "c_nationkey", "op": "=", "value": 1}]}, {"name": "r2", "priority": 5, "when": [{"field": "c_mktsegment", "op": "in", "values": ["MACHINERY", "AUTOMOBILE"]}]}]}
 _add("decision_table", lambda spark, d: mt.match_long(customers(spark, d), RuleSet.load(DecisionTable.of(_TABLE).rules())[0], ["c_custkey"]).select("c_custkey", "rule_id", "rule_name"), f"SELECT c_custkey, CAST(7000 AS BIGINT) AS rule_id, 'r0' AS rule_name FROM {_CUSTOMER} a WHERE c_nationkey BETWEEN 1 AND 8 AND c_acctbal >= -100 UNION ALL SELECT c_custkey, 7002, 'r2' FROM {_CUSTOMER} b WHERE c_mktsegment IN ('MACHINERY', 'AUTOMOBILE')")
 

@@ -13,7 +13,7 @@ from predica.operators.rules import Manager, Rule, RuleSet, compile_rule, versio
 from predica.operators.service import SAMPLE, SELF_TEST_ID, RuleService
 from predica.operators.translate import export
 from predica.plans.ir import RuleError, plain_number
-from predica.sources import generator, io
+from predica.sources import frontends, generator, io
 from predica.streaming import match as stream_match
 from predica.streaming import usage
 from pyspark.sql import functions as F
@@ -126,6 +126,16 @@ def test_explain(spark):
     assert [r.detail for r in two.reasons] == ["s=<null> does not match pattern 'x%'", "no OR alternative held — d=5 does not satisfy = 1; d=5 is outside [7, 9]", "the negated condition was satisfied"]
 
 
+def test_walker(spark):
+    """Where the two readings of a rule differ: (rule, row, as matching, as the walker)."""
+    cases = [("x == 1", {"x": 1}, True, False), ("x != 5", {"y": 1}, False, True), ("x < 30", {"y": 1}, False, True), ("x IN ('')", {"y": 1}, False, True), ("x LIKE '%'", {"y": 1}, False, True), ("s = 30.0", {"s": "30"}, True, False), ("t IS NULL", {"t": [1]}, True, False), ("x BETWEEN 1 AND 3", {"x": 2}, True, True), ("x = 2", {"x": 2.0}, True, True), ("x NOT IN (2)", {"y": 1}, True, True)]
+    for rule, row, vm, ast in cases:
+        df, node = io.users_of_records(spark, [row | {"_": 0}]), frontends.parse(rule)
+        assert [explain.explain(df, node, ["_"], compat=c).first().passed for c in ("vm", "ast")] == [vm, ast], rule
+    df = io.users_of_records(spark, [{"x": 2, "_": 0}])
+    assert explain.explain(df, frontends.parse("x BETWEEN '1' AND '3'"), ["_"], compat="ast").first().passed
+
+
 def test_gate_agrees_with_matching(spark):
     rules, users = RuleSet.load(NAMED)[0], io.users_of_records(spark, USERS)
     gates = {r.uid: r.passed_rule_ids for r in explain.gate(users, rules, ["uid"]).collect()}
