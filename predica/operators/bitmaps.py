@@ -16,6 +16,8 @@ from .rules import RuleSet
 
 #: Rows that are evaluated together; rules times rows / 8 bytes of bitmaps are held.
 ROWS = 1 << 14
+#: Words of 64 bits that are gathered together.
+CELLS = 1 << 19
 _TESTS = {"=": np.equal, "!=": np.not_equal, ">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal}
 _TEXT = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
 
@@ -82,34 +84,67 @@ def _bits(leaf: Node, f: _Field | None, n: int) -> np.ndarray:
 
 
 class Evaluator:
-    """Bitmaps of all rules of a set for a batch."""
+    """Bitmaps of all rules of a set for a batch.
+
+    Most rules are conjunctions of leaves and negated leaves; these are rows of numbers of leaf bitmaps (even: the leaf, odd:
+    its complement), combined by a few array operations for all of them. The others are combined node by node.
+    """
 
     def __init__(self, rules: RuleSet):
-        self.nodes = [p.node for p in rules]
+        nodes = [p.node for p in rules]
         self.ids = np.array([p.id for p in rules], np.int64)
-        atoms = dict.fromkeys(positive(leaf)[0] for node in self.nodes for leaf in leaves(node))
-        self.atoms = {atom: i for i, atom in enumerate(atoms)}
+        self.atoms: dict[Node, int] = {}
+        plain, self.others, flat, starts = [], [], [], []
+        for i, node in enumerate(nodes):
+            parts = [self._literal(a) for a in (node.args if isinstance(node, Logic) and node.op == "AND" else (node,))]
+            if None in parts:
+                for leaf in leaves(node):
+                    self._literal(leaf)
+                self.others.append((i, node))
+            else:
+                plain.append(i)
+                starts.append(len(flat))
+                flat += parts
+        self.plain, self.flat, self.starts = np.array(plain, np.int64), np.array(flat, np.int64), np.array(starts, np.int64)
+
+    def _literal(self, node: Node) -> int | None:
+        """Twice the number of a leaf, plus one if it is negated; None for anything else."""
+        turned = False
+        while isinstance(node, Not):
+            node, turned = node.arg, not turned
+        if isinstance(node, Logic):
+            return None
+        leaf, negated = positive(node)
+        return 2 * self.atoms.setdefault(leaf, len(self.atoms)) + (turned != negated)
 
     def __call__(self, batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
         """(rules, bytes): row i of the batch is bit i; bits past the last row are 0."""
         n = batch.num_rows
         columns = {name: _Field(batch.column(name)) for name in names}
-        size = -(-n // 64) * 8
-        table = np.zeros((len(self.atoms), size), np.uint8)
+        words = -(-n // 64)
+        table = np.zeros((2 * len(self.atoms), words * 8), np.uint8)
         for atom, i in self.atoms.items():
             packed = np.packbits(_bits(atom, columns.get(atom.field), n), bitorder="little")
-            table[i, : len(packed)] = packed
+            table[2 * i, : len(packed)] = packed
         table = table.view(np.uint64)
-        full = np.zeros(size, np.uint8)
+        full = np.zeros(words * 8, np.uint8)
         every = np.packbits(np.ones(n, bool), bitorder="little")
         full[: len(every)] = every
         full = full.view(np.uint64)
-        out = np.empty((len(self.nodes), size // 8), np.uint64)
-        for i, node in enumerate(self.nodes):
+        table[1::2] = table[::2] ^ full
+        out = np.empty((len(self.ids), words), np.uint64)
+        step = max(1, CELLS // max(1, 4 * words))
+        for a in range(0, len(self.plain), step):
+            own, begin = self.plain[a : a + step], self.starts[a]
+            end = self.starts[a + step] if a + step < len(self.starts) else len(self.flat)
+            out[own] = np.bitwise_and.reduceat(table[self.flat[begin:end]], self.starts[a : a + step] - begin, axis=0)
+        for i, node in self.others:
             out[i] = self._combine(node, table, full)
         return out.view(np.uint8)
 
     def _combine(self, node: Node, table: np.ndarray, full: np.ndarray) -> np.ndarray:
+        if (literal := self._literal(node)) is not None:
+            return table[literal]
         match node:
             case Logic("AND", args):
                 return np.bitwise_and.reduce([self._combine(a, table, full) for a in args])
@@ -117,15 +152,13 @@ class Evaluator:
                 return np.bitwise_or.reduce([self._combine(a, table, full) for a in args])
             case Not(arg):
                 return full ^ self._combine(arg, table, full)
-        leaf, negated = positive(node)
-        found = table[self.atoms[leaf]]
-        return full ^ found if negated else found
+        raise TypeError(node)
 
 
 def _prepared(df: DataFrame, rules: RuleSet, keys: list[str]) -> tuple[DataFrame, list[str], list[str]]:
     """(keys and fields under names that don't clash, key names, field names); dates become text, decimals doubles."""
-    wanted, columns, names = fields(*(p.node for p in rules)), [], []
-    for name in wanted:
+    columns, names = [], []
+    for name in fields(*(p.node for p in rules)):
         if name in df.columns and (o := operand(name, df.schema[name])):
             # Booleans, dates and timestamps are text to a rule; a float is widened to a double first.
             columns.append((o.number if o.kind == "double" else o.raw if o.kind == "whole" else o.text).alias(f"f:{name}"))
