@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -267,22 +266,25 @@ for _period, _key in _KEYS.items():
     _add(f"time_usage_{_period}", lambda spark, d, p=_period: usage.usage(table(spark, d, "events").withColumn("sec", F.floor("value").cast("long")), ["user_id"], "ts", "sec", p), f"SELECT user_id, {_key} AS period_key, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS usage_sec, count(*) AS beats FROM events GROUP BY ALL")
 
 
-def _drained(spark: SparkSession, d: str, name: str, transform: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """The result of a stream over a table's files, after all of them have been read once."""
-    schema = table(spark, d, "events").schema
-    path = f"{d}/events.parquet"
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
-    rows = source.parquet(path if not os.path.isfile(path) else f"{d}/event[s].parquet")
-    writer = transform(rows).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="predica-")
-    checkpoint = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    writer.option("checkpointLocation", checkpoint).start().awaitTermination()
-    return spark.table(name)
+def _drained(spark: SparkSession, d: str, transform: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What a stream over a table's files has written, and in which micro-batch, after all of them have been read once.
+
+    Each micro-batch overwrites the folder of its own number, so a repeated one adds nothing.
+    """
+    source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet")
+    rows = source.parquet(f"{d}/event[s].parquet")  # a stream's path is a folder or a pattern
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='predica-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def write(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    out = transform(rows)
+    out.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
 
 
 EVENT_RULES = [Rule(1, "clicks", "event_type = 'click'"), Rule(2, "large", "value >= 50", 3), Rule(3, "neither", "NOT (event_type = 'click' OR value >= 50)")]
-_STREAM_ID = iter(range(1 << 30))
-_add("stream_match", lambda spark, d: _drained(spark, d, f"matches_{next(_STREAM_ID)}", lambda rows: sm.match_stream(rows, RuleSet.load(EVENT_RULES)[0], ["event_id"])).select("event_id", F.array_join("rule_ids", ",").alias("ids")), "SELECT event_id, concat_ws(',', CASE WHEN value >= 50 THEN '2' END, CASE WHEN event_type = 'click' THEN '1' END, CASE WHEN NOT (event_type = 'click' OR value >= 50) THEN '3' END) AS ids FROM events")
+_add("stream_match", lambda spark, d: _drained(spark, d, lambda rows: sm.match_stream(rows, RuleSet.load(EVENT_RULES)[0], ["event_id"])).select("event_id", F.array_join("rule_ids", ",").alias("ids")), "SELECT event_id, concat_ws(',', CASE WHEN value >= 50 THEN '2' END, CASE WHEN event_type = 'click' THEN '1' END, CASE WHEN NOT (event_type = 'click' OR value >= 50) THEN '3' END) AS ids FROM events")
 
 
 def _stream_usage(spark: SparkSession, d: str) -> DataFrame:
@@ -291,7 +293,9 @@ def _stream_usage(spark: SparkSession, d: str) -> DataFrame:
     def beats(rows: DataFrame) -> DataFrame:
         return usage.accumulate(rows.select(F.col("user_id").alias("customer_id"), F.lit("m").alias("merchant_code"), F.lit("2026-06-12 10:00:00").cast("timestamp").alias("beat_at"), F.floor("value").cast("long").alias("interval_sec")))
 
-    return _drained(spark, d, f"usage_{next(_STREAM_ID)}", beats, "update").select("customer_id", "current_date_key", "current_week_key", "current_month_key", "daily_usage_sec", "monthly_usage_sec", "beat_count_daily")
+    columns = ["customer_id", "current_date_key", "current_week_key", "current_month_key", "daily_usage_sec", "monthly_usage_sec", "beat_count_daily"]
+    states = _drained(spark, d, beats, "update").groupBy("customer_id", "merchant_code").agg(F.max_by(F.struct(*columns), "batch").alias("last"))
+    return states.select("last.*")
 
 
 _add("stream_usage", _stream_usage, "SELECT user_id AS customer_id, '2026-06-12' AS current_date_key, '2026-W24' AS current_week_key, '2026-06' AS current_month_key, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS daily_usage_sec, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS monthly_usage_sec, count(*) AS beat_count_daily FROM events GROUP BY user_id")
