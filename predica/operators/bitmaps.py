@@ -93,6 +93,7 @@ class Evaluator:
     def __init__(self, rules: RuleSet):
         nodes = [p.node for p in rules]
         self.ids = np.array([p.id for p in rules], np.int64)
+        self.fields = fields(*nodes)
         self.atoms: dict[Node, int] = {}
         plain, self.others, flat, starts = [], [], [], []
         for i, node in enumerate(nodes):
@@ -155,10 +156,18 @@ class Evaluator:
         raise TypeError(node)
 
 
+def evaluator(rules: RuleSet) -> Evaluator:
+    """The evaluator of a set, made once: a set doesn't change."""
+    found = getattr(rules, "_evaluator", None)
+    if found is None:
+        found = rules._evaluator = Evaluator(rules)
+    return found
+
+
 def _prepared(df: DataFrame, rules: RuleSet, keys: list[str]) -> tuple[DataFrame, list[str], list[str]]:
     """(keys and fields under names that don't clash, key names, field names); dates become text, decimals doubles."""
     columns, names = [], []
-    for name in fields(*(p.node for p in rules)):
+    for name in evaluator(rules).fields:
         if name in df.columns and (o := operand(name, df.schema[name])):
             # Booleans, dates and timestamps are text to a rule; a float is widened to a double first.
             columns.append((o.number if o.kind == "double" else o.raw if o.kind == "whole" else o.text).alias(f"f:{name}"))
@@ -169,7 +178,7 @@ def _prepared(df: DataFrame, rules: RuleSet, keys: list[str]) -> tuple[DataFrame
 
 def match_wide(df: DataFrame, rules: RuleSet, keys: list[str]) -> DataFrame:
     chosen, key_names, names = _prepared(df, rules, keys)
-    evaluate = Evaluator(rules)
+    evaluate = evaluator(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -194,7 +203,7 @@ def match_wide(df: DataFrame, rules: RuleSet, keys: list[str]) -> DataFrame:
 def hits_by_rule(df: DataFrame, rules: RuleSet) -> DataFrame:
     """(rule_id, n_rows, hits) partial sums of each task: bits are counted, hits aren't listed."""
     chosen, _, names = _prepared(df, rules, [])
-    evaluate = Evaluator(rules)
+    evaluate = evaluator(rules)
     # Without a field to read, rows still count.
     chosen = chosen if names else df.select(F.lit(0).alias("f:"))
 

@@ -15,9 +15,9 @@ coalesce(), and with NOT moved to the leaves, so that the scan gets the pushed f
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +33,19 @@ _CANONICAL = re.compile(r"-?(0|[1-9]\d*)(\.\d*[1-9])?")
 
 @dataclass(frozen=True)
 class Operand:
-    """A field: its value as a number (null if it isn't one) and as text, whether it is there, and its type's kind."""
+    """A field: its value as a number (null if it isn't one) and as text, and its type's kind."""
 
     kind: str  # whole, double, text or dynamic
     raw: Column
     number: Column | None
-    text: Column
+    text_of: Callable[[], Column]
     nullable: bool = True
 
+    @cached_property
+    def text(self) -> Column:
+        """Made when a leaf needs it: the text of a double is a long expression."""
+        return self.text_of()
+
     @property
     def missing(self) -> Column:
         return self.raw.isNull()
@@ -49,17 +54,18 @@ class Operand:
 def operand(name: str, field: T.StructField) -> Operand | None:
     """The operand of a column, or None if its type counts as missing."""
     c, kind = F.col(f"`{name.replace('`', '``')}`"), field.dataType
+    if isinstance(kind, T.LongType):
+        return Operand("whole", c, c.cast("double"), lambda: F.when(F.abs(c.cast("double")) <= _EXACT, c.cast("string")).otherwise(number_text(c.cast("double"))), field.nullable)
     if isinstance(kind, _WHOLE):
-        text = c.cast("string") if not isinstance(kind, T.LongType) else F.when(F.abs(c.cast("double")) <= _EXACT, c.cast("string")).otherwise(number_text(c.cast("double")))
-        return Operand("whole", c, c.cast("double"), text, field.nullable)
+        return Operand("whole", c, c.cast("double"), lambda: c.cast("string"), field.nullable)
     if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return Operand("double", c, c.cast("double"), number_text(c), field.nullable)
+        return Operand("double", c, c.cast("double"), lambda: number_text(c), field.nullable)
     if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
-        return Operand("text", c, None, c, field.nullable)
+        return Operand("text", c, None, lambda: c, field.nullable)
     if isinstance(kind, T.BooleanType):
-        return Operand("text", c, None, c.cast("string"), field.nullable)
+        return Operand("text", c, None, lambda: c.cast("string"), field.nullable)
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return Operand("text", c, None, F.date_format(c, "yyyy-MM-dd HH:mm:ss"), field.nullable)
+        return Operand("text", c, None, lambda: F.date_format(c, "yyyy-MM-dd HH:mm:ss"), field.nullable)
     return None
 
 
@@ -70,7 +76,7 @@ def dynamic_operand(column: str, name: str) -> Operand:
     numeric = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$")
     number = F.when(numeric, F.try_variant_get(value, "$", "double"))
     text = F.when(numeric, number_text(number)).when(kind.isin("STRING", "BOOLEAN"), F.try_variant_get(value, "$", "string"))
-    return Operand("dynamic", text, number, text)
+    return Operand("dynamic", text, number, lambda: text)
 
 
 class Lowering:
@@ -78,12 +84,13 @@ class Lowering:
 
     def __init__(self, df: DataFrame | None = None, variant: str | None = None, hidden: Iterable[str] = ()):
         self.variant, hidden = variant, set(hidden)
-        self.operands = {} if df is None or variant else {f.name: o for f in df.schema.fields if f.name not in hidden and (o := operand(f.name, f))}
+        self.columns = {} if df is None or variant else {f.name: f for f in df.schema.fields if f.name not in hidden}
+        self.operands: dict[str, Operand | None] = {}
 
     def operand(self, name: str) -> Operand | None:
-        if self.variant:
-            return self.operands.setdefault(name, dynamic_operand(self.variant, name))
-        return self.operands.get(name)
+        if name not in self.operands:
+            self.operands[name] = dynamic_operand(self.variant, name) if self.variant else operand(name, self.columns[name]) if name in self.columns else None
+        return self.operands[name]
 
     def predicate(self, node: Node) -> Column:
         """True or false for each row."""
@@ -183,10 +190,6 @@ class WalkerLowering(Lowering):
     written; ranges may have bounds in quotes; `==` never holds; a nested value isn't null.
     """
 
-    def __init__(self, df: DataFrame | None = None, variant: str | None = None, hidden: Iterable[str] = ()):
-        super().__init__(df, variant, hidden)
-        self.nested = set() if df is None or variant else {f.name for f in df.schema.fields if f.name not in self.operands}
-
     def predicate(self, node: Node) -> Column:
         if isinstance(node, (Logic, Not)):
             return super().predicate(node)
@@ -201,7 +204,7 @@ class WalkerLowering(Lowering):
         match leaf:
             case IsNull(field):
                 if o is None:
-                    return F.col(f"`{field}`").isNull() if field in self.nested else F.lit(True)
+                    return F.col(f"`{field}`").isNull() if field in self.columns else F.lit(True)
                 return o.missing
             case Compare(_, "==", _):
                 return F.lit(False)
