@@ -7,8 +7,11 @@
    reversed), mapped through the cumulative targets to a source: any stretch of the schedule has every source close to its
    share.
 3. A slot's rank among its source's slots is the block that it reads, of the source's words in shuffled document order;
-   past the end the source begins again, `most` times at most.
-4. A document gets the overlap of its words with the blocks that slots read.
+   past the end the source begins again, `most` times at most. So it is where blocks have one word, and for sources whose
+   size and target are FULL blocks or more, which are a hundredth off their target at most. Any other source would miss its
+   target by its last, partial block and by a few slots: its slots share its target, in words, equally instead, and it has
+   one slot at least.
+4. A document gets the overlap of its words with what the slots read.
 
 Scale: one scan for sizes (checkpointed, narrow). Ranks and positions are prefix sums in two levels, over chunks of slots
 and hash buckets of documents, so a source with a third of all rows is spread like any other; the windows over sources
@@ -21,7 +24,7 @@ once each; without words every target and taken is 0; an empty table gives an em
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, unused, word_count
@@ -30,6 +33,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Words in a block, and slots in a schedule, at most; a small corpus has smaller blocks.
 BLOCK, SLOTS = 1024, 1 << 17
+#: Blocks that a source's size and target have at least if its slots are full blocks.
+FULL = 1024
 CHUNK = 1 << 14
 BUCKET_ROWS = 4096
 
@@ -55,25 +60,32 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return full.select("sid", "source", "n_rows", "source_size", target.alias("target"))
 
 
+def full_blocks(block: int) -> Column:
+    """Whether a source's slots are full blocks."""
+    return (F.least(F.col("source_size").cast("double"), F.col("target")) >= FULL * block) | F.lit(block == 1)
+
+
 def schedule(sources: DataFrame, slots: int, block: int, most: int = MOST) -> DataFrame:
-    """(slot, sid, rank, block, epoch) of the slots, in the schedule's order by slot."""
+    """(slot, sid, rank) of the slots, in the schedule's order by slot; a source that the points miss has a slot behind it."""
     spark = sources.sparkSession
     bits = max(1, (slots - 1).bit_length())
     point = F.conv(F.reverse(F.lpad(F.bin("slot"), bits, "0")), 2, 10).cast("double") / float(1 << bits)
     total = F.sum("target").over(Window.partitionBy())
     upto = F.sum("target").over(Window.orderBy("sid"))
     count = F.count("*").over(Window.partitionBy())
-    ranges = sources.where("target > 0").select("sid", ((upto - F.col("target")) / total).alias("low"), F.when(F.row_number().over(Window.orderBy(F.col("sid").desc())) == 1, F.lit(2.0)).otherwise(upto / total).alias("high"), F.greatest(F.lit(64), count * 4).alias("cells"), F.expr(f"(source_size + {block - 1}) div {block}").alias("n_blocks"))
+    ranges = sources.where("target > 0").select("sid", ((upto - F.col("target")) / total).alias("low"), F.when(F.row_number().over(Window.orderBy(F.col("sid").desc())) == 1, F.lit(2.0)).otherwise(upto / total).alias("high"), F.greatest(F.lit(64), count * 4).alias("cells"), full_blocks(block).alias("full"), F.expr(f"(source_size + {block - 1}) div {block}").alias("n_blocks"))
     cell = lambda c: F.floor(F.least(F.col(c), F.lit(0.9999999999)) * F.col("cells")).cast("long")
     by_cell = ranges.select("*", F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
     cells = ranges.agg(F.max("cells")).first()[0]
     points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", point)
-    drawn = points.withColumn("cell", F.floor(F.col("point") * cells).cast("long")).join(by_cell, "cell").where("point >= low AND point < high").select("slot", "sid", "n_blocks", F.expr(f"slot div {CHUNK}").alias("chunk"))
+    drawn = points.withColumn("cell", F.floor(F.col("point") * cells).cast("long")).join(by_cell, "cell").where("point >= low AND point < high").select("slot", "sid", "full", "n_blocks", F.expr(f"slot div {CHUNK}").alias("chunk"))
     inside = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     chunks = drawn.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
     earlier = chunks.select("sid", "chunk", (F.sum("n").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("earlier"))
     ranked = drawn.withColumn("inside", inside).join(earlier, ["sid", "chunk"]).withColumn("rank", F.col("earlier") + F.col("inside"))
-    return ranked.select("slot", "sid", "rank", (F.col("rank") % F.col("n_blocks")).alias("block"), F.expr("rank div n_blocks").alias("epoch")).where(F.col("epoch") < most)
+    own = ranked.where(~F.col("full") | (F.col("rank") < F.col("n_blocks") * most)).select("slot", "sid", "rank")
+    missed = ranges.where(~F.col("full")).join(chunks, "sid", "left_anti").select((F.col("sid") + slots).alias("slot"), "sid", F.lit(0).cast("long").alias("rank"))
+    return own.union(missed)
 
 
 def positions(sized: DataFrame, sources: DataFrame) -> DataFrame:
@@ -101,13 +113,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = positions(sized, sources)
     if not total:
         return placed.select("doc_id", "source", "body", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.array().cast("array<bigint>").alias("parts"))
-    read = schedule(sources, -(-total // block), block, most).select("sid", "block", "epoch")
+    read = checkpointed(schedule(sources, -(-total // block), block, most))
+    plans = checkpointed(sources.join(read.groupBy("sid").agg(F.count("*").alias("slots")), "sid").select("sid", "slots", full_blocks(block).alias("full"), F.expr(f"(source_size + {block - 1}) div {block}").alias("n_blocks"), F.least(F.round("target").cast("long"), F.col("source_size") * most).alias("reads")))
     row = ["doc_id", "source", "body", "size", "sid", "source_size", "target", "start"]
-    spans = placed.select(*row, F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = spans.join(read, ["sid", "block"], "left").withColumn("words", F.when(F.col("epoch").isNull(), F.lit(0)).otherwise(overlap).cast("long"))
+    # The ranks of the slots that may meet a document's words; slot k of n reads words k * reads / n to (k + 1) * reads / n.
+    empty, last = "cast(array() as array<struct<epoch: int, rank: bigint>>)", "least({0} * source_size + start + size, reads)"
+    whole = f"if({{0}} * n_blocks < slots, transform(sequence(start div {block}, (start + size - 1) div {block}), b -> struct({{0}} as epoch, {{0}} * n_blocks + b as rank)), {empty})"
+    shared = f"if({{0}} * source_size + start < reads, transform(sequence((({{0}} * source_size + start + 1) * slots - 1) div reads, ({last} * slots - 1) div reads), k -> struct({{0}} as epoch, k as rank)), {empty})"
+    meets = F.concat(*(F.expr(f"if(full, {whole}, {shared})".format(e)) for e in range(most)))
+    spans = placed.join(plans, "sid", "left").withColumn("meet", F.explode_outer(F.when((F.col("size") > 0) & F.col("slots").isNotNull(), meets))).select(*row, "slots", "full", "n_blocks", "reads", "meet.epoch", "meet.rank")
+    first = F.expr(f"if(full, (rank - epoch * n_blocks) * {block}, (rank * reads) div slots - epoch * source_size)")
+    past = F.expr(f"if(full, (rank - epoch * n_blocks + 1) * {block}, ((rank + 1) * reads) div slots - epoch * source_size)")
+    overlap = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), past) - F.greatest(F.col("start"), first))
+    taken = spans.join(read.select("sid", "rank", F.lit(True).alias("is_read")), ["sid", "rank"], "left").withColumn("words", F.when(F.col("is_read"), overlap).otherwise(F.lit(0)).cast("long"))
     sums = [F.coalesce(F.sum(F.when(F.col("epoch") == e, F.col("words"))), F.lit(0)).alias(f"part{e}") for e in range(most)]
-    out = taken.groupBy(*row).agg(*sums, F.count(F.when(F.col("block").isNull(), 1)).alias("empty"))
+    out = taken.groupBy(*row).agg(*sums, F.count(F.when(F.col("rank").isNull(), 1)).alias("empty"))
     parts = F.array(*(F.col(f"part{e}") for e in range(most)))
     # Rows without words that agree in everything are one group: one row for each again.
     return out.select("doc_id", "source", "body", "size", "source_size", "target", sum(F.col(f"part{e}") for e in range(most)).cast("long").alias("taken"), F.filter(parts, lambda x: x > 0).alias("parts"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("empty").cast("int")))).alias("copy")).drop("copy")

@@ -66,6 +66,22 @@ def test_mix(make):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+def test_mix_of_small_sources(make, monkeypatch):
+    """Sources smaller than a block, or of a few blocks, hit their targets."""
+    monkeypatch.setattr(source_mix, "SLOTS", 64)
+    small = {"s120": 120, "s300": 300, "s1": 1, "s1100": 1100, "s3200": 3200, "s5200": 5200}
+    rows = [(i, "w " * 500, "big") for i in range(240)] + [(1000 + 100 * i + k, "w " * (n // 10 + (n % 10 if k == 0 else 0)), s) for i, (s, n) in enumerate(small.items()) for k in range(10)]
+    sizes = Counter()
+    for r in rows:
+        sizes[r[2]] += count(r[1])
+    assert sum(sizes.values()) // 64 > source_mix.BLOCK
+    want, taken = shares(sizes), Counter()
+    for r in mixed(make(rows)):
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 3 * r.size and sum(r.parts) == r.taken and all(0 < p <= r.size for p in r.parts)
+    assert all(want[s] == 3 * n for s, n in small.items()) and all(abs(taken[s] - want[s]) <= 1 for s in want)
+
+
 def test_mix_of_nothing(make):
     assert mixed(make([(1, "x")]).limit(0)) == []
     assert {(r.taken, r.target) for r in mixed(make([(1, None), (2, " ")]))} == {(0, 0.0)}
