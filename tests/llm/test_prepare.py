@@ -442,6 +442,37 @@ def test_stages(spark, make):
     assert stages.packed(out).select("sequence_id").distinct().count() >= 1
 
 
+def near_kept(rows):
+    """Ids that near deduplication keeps, by brute force."""
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = {i: grams(t) for i, t in rows}, {i: i for i, _ in rows}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def test_near_copies(make):
+    """Every pair of similarity 0.8 or more is linked, chains too, and no other."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(500)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([8, 60, 200])))) for i in range(40)]
+    for k in range(160):
+        own = rng.choice(rows)[1].split()
+        for at in rng.sample(range(len(own)), min(len(own), rng.choice([1, 2, 3, 4, 6, 12]))):
+            own[at] = rng.choice(words)
+        rows.append((100 + k, " ".join(own)))
+    rows += [(900, None), (901, " "), (902, "One two"), (903, "one TWO"), (904, "one two three")]
+    kept = near_kept(rows)
+    assert 40 < len(kept) < len(rows) - 40
+    assert {r.doc_id for r in stages.without_near_copies(make(rows)).select("doc_id").collect()} == kept
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
 def test_pipeline(spark):
     import corpus_pipeline
