@@ -1,16 +1,20 @@
 """URL filters by association rules, with DataFrame functions only.
 
-A url becomes a handful of tokens: scheme, registered domain, what stands before it, first two path segments, file
-extension, query key, fragment, depth. Spark's FP-growth mines the combinations that are frequent among labelled urls
-together with the label; of the rules `tokens => bad` those with enough support and confidence stay, and of these the ones
-without a shorter rule that is as confident. Rules are matched by an inverted index: each is listed under its rarest
-token, urls are looked up by their tokens, and the rule's other tokens are then checked.
+A url becomes tokens of all its parts: scheme, registered domain, what stands before it, every host label, every path
+segment (the first two with their places too) and its words, file extension, all query keys, values and their words,
+fragment, depth. Spark's FP-growth mines the combinations that are frequent among labelled urls together with the label;
+of the rules `tokens => bad` those with enough support and confidence stay, and of these the ones without a shorter rule
+that is as confident. Rules are matched by an inverted index: each is listed under its rarest token, urls are looked up
+by their tokens, and the rule's other tokens are then checked.
+
+Tokens that are frequent and stand in exactly the same labelled urls are one item of the mining, and any of them fits
+where the item does: mining them one by one would give the same rules once for each choice of tokens.
 
 Explicit rules `host/path` go first: a rule fits its host and all subdomains where the url's path begins with its path;
 the longest that fits decides.
 
-Scale: urls without their pages are read; mining sees labelled rows only, and a url has at most MAX_TOKENS tokens, so
-itemsets stay bounded. The index is broadcast if it has at most MAX_BROADCAST rules, else joined by shuffle; a hot token is
+Scale: urls without their pages are read; mining sees labelled rows only, and of their tokens those with enough support,
+which bounds the itemsets; the frequent tokens are broadcast. The index is broadcast if it has at most MAX_BROADCAST rules, else joined by shuffle; a hot token is
 then split by the adaptive join. Defined cases: a null url, or one without `://`, has empty host and path, no tokens, and
 is allowed; repeated rows get equal verdicts; with no labels nothing is mined and everything without a rule is allowed; an
 empty table gives an empty result; other columns are ignored.
@@ -27,7 +31,6 @@ from .common import ascii_lower, checkpointed
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Share of the labelled urls, rows, and share of bad ones that a rule needs.
 MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE = 0.001, 30, 0.6
-MAX_TOKENS = 10
 MAX_BROADCAST = 10_000
 BAD = "label:bad"
 
@@ -52,12 +55,16 @@ def explicit_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens of a url, at most MAX_TOKENS; numbers are written as 0."""
+    """Distinct tokens of a url; numbers outside the host are written as 0, words are lower-cased."""
     labels = F.split(host_of(url), r"\.")
     segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
     plain = lambda c: F.regexp_replace(c, "[0-9]+", "0")
+    words = lambda c: F.filter(F.split(ascii_lower(plain(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    called = lambda name, values: F.transform(values, lambda v: F.concat(F.lit(f"{name}:"), v))
     domain = F.array_join(F.slice(labels, -F.least(F.lit(2), F.size(labels)), 2), ".")
     before = F.when(F.size(labels) > 2, F.array_join(F.slice(labels, 1, F.greatest(F.lit(1), F.size(labels) - 2)), "."))
+    query, fragment = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), F.regexp_extract(url, "(?s)#(.*)$", 1)
+    params = F.filter(F.split(query, "[&;]"), lambda p: p != "")
     named = [
         ("scheme", ascii_lower(F.regexp_extract(url, "(?s)^(.*?)://", 1))),
         ("domain", domain),
@@ -65,29 +72,62 @@ def tokens(url: Column) -> Column:
         ("path", plain(F.get(segments, F.lit(0)))),
         ("path2", plain(F.get(segments, F.lit(1)))),
         ("ext", F.nullif(F.regexp_extract(path_of(url), r"\.([A-Za-z0-9]{1,8})$", 1), F.lit(""))),
-        ("key", F.nullif(F.regexp_extract(url, r"\?([^=&#]*)", 1), F.lit(""))),
         ("mark", F.when(F.contains(url, F.lit("#")), F.lit("1"))),
+        ("fragment", F.nullif(plain(fragment), F.lit(""))),
         ("depth", F.least(F.size(segments), F.lit(6)).cast("string")),
     ]
-    every = F.array(*(F.concat(F.lit(f"{name}:"), value) for name, value in named))
+    listed = [
+        ("host", labels),
+        ("segment", F.transform(segments, plain)),
+        ("word", words(path_of(url))),
+        ("key", F.transform(params, lambda p: F.substring_index(p, "=", 1))),
+        ("param", F.transform(F.filter(params, lambda p: F.contains(p, F.lit("="))), plain)),
+        ("value", words(F.array_join(F.transform(params, lambda p: F.regexp_extract(p, "(?s)=(.*)$", 1)), " "))),
+    ]
+    every = F.concat(F.array(*(F.concat(F.lit(f"{name}:"), value) for name, value in named)), *(called(name, values) for name, values in listed))
     return F.when(F.contains(url, F.lit("://")), F.array_distinct(F.filter(every, lambda t: t.isNotNull()))).otherwise(F.array().cast("array<string>"))
 
 
+def items_of(labelled: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(item, tokens, freq) of the tokens of `least` rows or more, those of the same rows together, and (items) of each row."""
+    rows = checkpointed(labelled.select("tokens", "bad", F.monotonically_increasing_id().alias("row")))
+    found = rows.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("freq"), F.bit_xor(F.xxhash64("row")).alias("one"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("two")).where(F.col("freq") >= least)
+    classes = checkpointed(found.groupBy("freq", "one", "two").agg(F.array_sort(F.collect_list("token")).alias("tokens")).select(F.col("tokens")[0].alias("item"), "tokens", "freq"))
+    # Any token of a class stands for it, as they are in the same rows.
+    own = rows.select("row", F.explode("tokens").alias("item")).join(F.broadcast(classes.select("item")), "item").groupBy("row").agg(F.collect_list("item").alias("own"))
+    none = F.array().cast("array<string>")
+    return classes, checkpointed(rows.select("row", "bad").join(own, "row", "left").select(F.concat(F.coalesce("own", none), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(none)).alias("items")))
+
+
+def shortest(rules: DataFrame, longest: int) -> DataFrame:
+    """The rules without a shorter one that is as confident; rules: (antecedent, confidence, rows) with all their parts."""
+    level = checkpointed(rules.where("size(antecedent) = 1").withColumn("best", F.lit(-1.0)))
+    out = level
+    for k in range(2, longest + 1):
+        parts = rules.where(f"size(antecedent) = {k}").withColumn("part", F.explode(F.transform("antecedent", lambda t: F.array_remove("antecedent", t))))
+        below = level.select(F.col("antecedent").alias("part"), F.greatest("confidence", "best").alias("top"))
+        level = checkpointed(parts.join(below, "part").groupBy("antecedent", "confidence", "rows").agg(F.max("top").alias("best")))
+        out = out.union(level)
+    return out.where("best < confidence").drop("best")
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(antecedent, confidence, rows, token) of the rules for bad urls; token is the rarest. labelled: (tokens, bad)."""
-    items = checkpointed(labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")))
-    n = items.count()
+    """(antecedent, confidence, rows, token) of the rules for bad urls. labelled: (tokens, bad).
+
+    antecedent: for each item its tokens, one of which a url must have; token: those of the rarest item, a row for each.
+    """
+    n = labelled.count()
     if not n:
-        return labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, rows double, token string")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(items)
-    rules = checkpointed(model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") * n).alias("rows")))
-    # A shorter rule lacks one token of a longer one, or is shorter than such a rule: all subsets of few tokens are looked up.
-    subsets = F.aggregate("antecedent", F.array(F.array().cast("array<string>")), lambda acc, t: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, t))))
-    shorter = rules.select("antecedent", "confidence", F.explode(subsets).alias("subset")).where("subset != antecedent").join(rules.select(F.col("antecedent").alias("subset"), F.col("confidence").alias("as_good")), "subset").where("as_good >= confidence").select("antecedent").distinct()
-    kept = rules.join(shorter, "antecedent", "left_anti")
-    single = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
-    listed = kept.select("antecedent", "confidence", "rows", F.explode("antecedent").alias("token")).join(single, "token")
-    return checkpointed(listed.groupBy("antecedent", "confidence", "rows").agg(F.min_by("token", F.struct("freq", "token")).alias("token")))
+        return labelled.sparkSession.createDataFrame([], "antecedent array<array<string>>, confidence double, rows double, token string")
+    classes, items = items_of(labelled, max(min_support * n, min_rows))
+    frequent = checkpointed(FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n))).fit(items).freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
+    bad = frequent.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("antecedent"), F.col("freq").alias("rows"))
+    rules = checkpointed(bad.join(frequent.select(F.col("items").alias("antecedent"), "freq"), "antecedent").select("antecedent", (F.col("rows") / F.col("freq")).alias("confidence"), F.col("rows").cast("double").alias("rows")))
+    longest = rules.agg(F.max(F.size("antecedent"))).first()[0] or 0
+    kept = shortest(rules, longest).where(F.col("confidence") >= min_confidence)
+    listed = kept.select(F.col("antecedent").alias("own"), "confidence", "rows", F.explode("antecedent").alias("item")).join(classes, "item")
+    rarest = F.min_by("tokens", F.struct("freq", "item"))
+    return checkpointed(listed.groupBy("own", "confidence", "rows").agg(F.collect_list("tokens").alias("antecedent"), rarest.alias("rarest")).select("antecedent", "confidence", "rows", F.explode("rarest").alias("token")))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -96,7 +136,7 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     if rules.count() <= MAX_BROADCAST:
         index = F.broadcast(index)
     looked_up = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    return looked_up.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
+    return looked_up.where(F.forall("antecedent", lambda item: F.arrays_overlap(item, "tokens"))).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def url_verdicts(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -147,6 +147,18 @@ def test_mined_rules(spark):
     assert out == {i: "block" if "spam.com/shop" in u else "allow" for i, u, _ in rows}
 
 
+def test_rules_of_any_part(spark):
+    """A host label, a deep segment, a word of a slug, and a later query key or value each make a rule; a long url of
+    tokens that always come together doesn't multiply the itemsets."""
+    signs = ["http://x{}.casino.a.com/u/v", "http://a.com/u/v/spam/{}", "http://a.com/u/free-bonus-{}", "http://a.com/u/v?id={}&aff=1", "http://a.com/u/v?id={}&to=pills", "http://a.com/" + "/".join("abcdefghijklmnopqrst") + "/{}"]
+    good = ["http://y{}.fine.a.com/u/v", "http://a.com/u/v/ham/{}", "http://a.com/u/paid-plan-{}", "http://a.com/u/v?id={}&ref=1", "http://a.com/u/v?id={}&to=shop"]
+    rows = [(i, (signs + good + good)[i % 16].format(f"n{i}"), int(i % 16 < 6)) for i in range(1100)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - bad, 0) for i, _, bad in rows if i < 700], "doc_id long, quality int, toxic int")
+    out = {r.page_id: r.verdict for r in url_rules.url_verdicts(pages, labels, rules=()).collect()}
+    assert out == {i: "block" if bad else "allow" for i, _, bad in rows}
+
+
 # --- 4: packing -------------------------------------------------------------------------------------------------
 
 
