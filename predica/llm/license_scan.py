@@ -8,6 +8,10 @@ UNKNOWN_DOCS documents, those least by a hash of the id, and on shuffled templat
 temperature and the prior of `unknown`. A predicted family is confirmed if one of its templates and the paragraph share
 80% of the five-word shingles of either.
 
+A template may lie across the windows of a long line. Stretches of a long line that have 80% of a template's shingles are
+therefore classified by themselves too, wherever they begin, and confirmed together with the words around them; their
+findings may overlap with those of windows.
+
 Scale: the sample is cut before it meets the texts; scanning is one map, the model a few hundred KB at any size. Defined
 cases: null text is empty; a text without paragraphs has no finding; repeated rows get equal findings; an empty table
 trains on templates and shuffled words alone and gives an empty result; other columns are ignored.
@@ -65,19 +69,23 @@ def words_of(paragraph: str) -> list[str]:
     return _WORD.findall(paragraph.lower())
 
 
-def paragraphs(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, words) of the text's paragraphs."""
+def paragraphs(text: str, model: Model | None = None) -> Iterator[tuple[int, int, list[str], list[str]]]:
+    """(start, end, words, words to confirm by) of the text's paragraphs; with a model, of the notices in long lines too."""
     at = 0
     for line in text.split("\n"):
         words = words_of(line)
         if len(words) <= WINDOW:
             if words:
-                yield at, at + len(line), words
+                yield at, at + len(line), words, words
         else:
             places = [m.span() for m in _WORD.finditer(line.lower())] if len(line.lower()) == len(line) else None
-            for a in range(0, len(words) - WINDOW // 2, WINDOW // 2):
-                own = words[a : a + WINDOW]
-                yield (at + places[a][0], at + places[a + len(own) - 1][1], own) if places else (at, at + len(line), own)
+            units = [(a, min(a + WINDOW, len(words)), a, a + WINDOW) for a in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
+            for a, b in model.notices(words) if model else []:
+                first = max(0, min(a - max(0, WINDOW - (b - a)) // 2, len(words) - WINDOW))
+                units.append((a, b, first, max(b, first + WINDOW)))
+            for a, b, first, past in units:
+                start, end = (places[a][0], places[b - 1][1]) if places else (0, len(line))
+                yield at + start, at + end, words[a:b], words[first:past]
         at += len(line) + 1
 
 
@@ -98,6 +106,12 @@ class Model:
         self.templates: dict[str, list[set[tuple[str, ...]]]] = {}
         for (family, _), t in zip(TEMPLATES, texts):
             self.templates.setdefault(family, []).append(_shingles(t))
+        self.sizes = [len(_shingles(t)) for t in texts]
+        self.places: dict[tuple[str, ...], list[int]] = {}
+        for i, t in enumerate(texts):
+            for shingle in _shingles(t):
+                self.places.setdefault(shingle, []).append(i)
+        self.lengths = sorted({len(x) for x in self.places})
 
     def _keys(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(keys, places) of the n-grams of known words."""
@@ -153,6 +167,44 @@ class Model:
             before = known
         return False
 
+    def notices(self, words: list[str]) -> list[tuple[int, int]]:
+        """(first, past) of the stretches with SIMILARITY of a template's shingles, no more than WINDOW words between two.
+
+        A stretch ends where a shingle comes again; of stretches of one template that overlap, the shortest are taken.
+        """
+        hits: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
+        for n in self.lengths:
+            for i in range(len(words) - n + 1):
+                for t in self.places.get(tuple(words[i : i + n]), ()):
+                    hits.setdefault(t, []).append((i, tuple(words[i : i + n])))
+        out = set()
+        for t, own in hits.items():
+            runs: list[tuple[int, int]] = []
+            run: dict[tuple[str, ...], int] = {}
+
+            def close(run=run, runs=runs, t=t):
+                if len(run) >= SIMILARITY * self.sizes[t]:
+                    first, (shingle, last) = next(iter(run.values())), next(reversed(run.items()))
+                    runs.append((first, last + len(shingle)))
+
+            for i, shingle in own:
+                if run and i - next(reversed(run.values())) > WINDOW:
+                    close()
+                    run.clear()
+                elif shingle in run:
+                    close()
+                    again = run[shingle]
+                    for x in [x for x, place in run.items() if place <= again]:
+                        del run[x]
+                run[shingle] = i
+            close()
+            taken = bytearray(len(words))
+            for a, b in sorted(runs, key=lambda r: (r[1] - r[0], r)):
+                if not any(taken[a:b]):
+                    taken[a:b] = b"\1" * (b - a)
+                    out.add((a, b))
+        return sorted(out)
+
     def confirmed(self, family: str, words: list[str]) -> bool:
         own = _shingles(words)
         return any(len(own & t) >= SIMILARITY * min(len(own), len(t)) for t in self.templates.get(family, []))
@@ -198,7 +250,7 @@ def _altered(words: list[str], filler: list[str], rng: np.random.Generator) -> l
 def train(texts: list[str | None], seed: int = 3, copies: int = 40) -> Model:
     """texts: documents whose paragraphs are mostly not licences; those that a template confirms aren't trained on."""
     model, rng = Model(), np.random.default_rng(seed)
-    plain = [w for t in texts for _, _, w in paragraphs(t or "")]
+    plain = [w for t in texts for _, _, w, _ in paragraphs(t or "")]
     plain = [w for w in plain if not any(model.confirmed(f, w) for f in model.families[1:])]
     plain = [plain[i] for i in rng.permutation(len(plain))[:4000]]
     filler = list(dict.fromkeys(w for p in plain for w in p))[:5000] or ["word", "text", "line", "page"]
@@ -223,7 +275,7 @@ def train(texts: list[str | None], seed: int = 3, copies: int = 40) -> Model:
 
 def scan(text: str | None, model: Model) -> list[dict]:
     """Findings in a text, in order."""
-    units = list(paragraphs(text or ""))
+    units = list(paragraphs(text or "", model))
     chosen = [i for i, u in enumerate(units) if model.stated(u[2])]
     if not chosen:
         return []
@@ -232,10 +284,10 @@ def scan(text: str | None, model: Model) -> list[dict]:
     for i, q in zip(chosen, p):
         best = int(q.argmax())
         if best and q[best] >= MIN_PROBABILITY:
-            start, end, words = units[i]
+            start, end, _, words = units[i]
             family = model.families[best]
             out.append({"family": family, "start": start, "length": end - start, "probability": float(q[best]), "confirmed": model.confirmed(family, words)})
-    return out
+    return sorted(out, key=lambda f: f["start"])
 
 
 FINDINGS = "findings array<struct<family: string, start: long, length: long, probability: double, confirmed: boolean>>, n_paragraphs long"

@@ -265,6 +265,24 @@ def test_license_templates():
         assert any(f["family"] == family and f["confirmed"] for f in found), text
 
 
+def test_license_templates_in_a_long_line(sample):
+    """Each template is found at every offset, verbatim and with a word put in, and twice."""
+    model = license_scan.train([t for _, t in sample[0][:100]])
+    filler = ["river", "stone", "walked", "slowly", "green", "over", "there"]
+    plain = [filler[i * i % 7] + str(i) for i in range(200)]
+    for family, text in license_scan.TEMPLATES:
+        words = text.split()
+        altered = [*words[:9], "really", *words[9:]] if len(words) > 40 else words
+        for offset in range(0, 60):
+            for own in (words, altered):
+                line = " ".join([*plain[:offset], *own, *plain[offset:140]])
+                assert family in {f["family"] for f in license_scan.scan(line, model) if f["confirmed"]}, (offset, own)
+        line = " ".join([*plain[:70], *words, *plain[70:90], *words, *plain[90:]])
+        found = {(f["start"], f["length"]) for f in license_scan.scan(line, model) if f["confirmed"] and f["family"] == family}
+        assert sum(a >= len(" ".join(plain[:70])) and n <= len(text) for a, n in found) >= 2, text
+    assert not any(f["confirmed"] for f in license_scan.scan(" ".join([*plain, "in source and binary forms", *plain]), model))
+
+
 # --- 6: chats ---------------------------------------------------------------------------------------------------
 
 
