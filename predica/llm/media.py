@@ -5,6 +5,10 @@ structure from there (chunks, boxes, pages, checksums, declared lengths) and say
 A value whose confirmed medium starts at its first byte gets that type, whatever was declared; media that are confirmed
 further inside are carved. Carving doesn't descend into a confirmed medium.
 
+Ends that nothing declares: a PDF ends at the last %%EOF whose startxref, and whatever that refers to by /Prev, is in it
+and not in a later PDF of the value (at the first %%EOF if none is); a TIFF ends after the last byte that its directories
+refer to; a FLAC stream after the frames of its declared samples, or the last frame that is whole where none are declared.
+
 Scale: one map over the rows without a shuffle; memory is one Arrow batch. Defined cases: null content stays null with
 type null and nothing carved; empty content is `application/octet-stream`, unconfirmed; a declared type that nothing
 confirms is kept and marked unconfirmed; repeated rows get equal results; an empty table gives an empty result.
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -121,11 +126,38 @@ def _bmp(b: bytes, at: int) -> int | None:
     return at + size if ok and at + size <= len(b) else None
 
 
+_PDF_END, _PDF_HEAD = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF"), re.compile(rb"%PDF-\d\.")
+_PDF_XREF, _PDF_PREV = re.compile(rb"\s*(?:xref|(\d{1,10}\s+\d{1,10}\s+obj))"), re.compile(rb"/Prev\s+(\d{1,12})")
+
+
+def _pdf_refers(b: bytes, at: int, offset: int, end: int) -> bool:
+    """Whether cross references from offset on are all in the PDF from at to end."""
+    seen: set[int] = set()
+    while offset not in seen:
+        seen.add(offset)
+        p = at + offset
+        if p >= end or not (found := _PDF_XREF.match(b, p, end)):
+            return False
+        past = b.find(b"stream" if found[1] else b"startxref", p, end)
+        before = _PDF_PREV.search(b, p if found[1] else max(p, b.find(b"trailer", p, end)), past if past >= 0 else end)
+        if not before:
+            return True
+        offset = int(before[1])
+    return True
+
+
 def _pdf(b: bytes, at: int) -> int | None:
     if not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b".":
         return None
     end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 and b.find(b" obj", at, end) >= 0 else None
+    if end < 0 or b.find(b"startxref", at, end) < 0 or b.find(b" obj", at, end) < 0:
+        return None
+    last, later = end + 5, [m.start() for m in _PDF_HEAD.finditer(b, at + 1)]
+    for m in _PDF_END.finditer(b, at):
+        offset = int(m[1])  # 0 in the first section of a linearized file
+        if offset and _pdf_refers(b, at, offset, m.end()) and not any(_pdf_refers(b, h, offset, m.end()) for h in later if h < m.start()):
+            last = max(last, m.end())
+    return last
 
 
 def _zip(b: bytes, at: int) -> int | None:
@@ -165,6 +197,121 @@ def _ogg(b: bytes, at: int) -> int | None:
     return end if pages else None
 
 
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    out = []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ (polynomial if x >> bits - 1 else 0)) & (1 << bits) - 1
+        out.append(x)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_frame(b: bytes, at: int, depth: int) -> tuple[int, int] | None:
+    """(end, samples) of a whole frame."""
+    head = b[at : at + 16]
+    if len(head) < 6 or head[0] != 0xFF or head[1] & 0xFE != 0xF8 or head[3] & 1:
+        return None
+    size, rate, layout, width = head[2] >> 4, head[2] & 15, head[3] >> 4, head[3] >> 1 & 7
+    number = 8 - (head[4] ^ 0xFF).bit_length()  # leading ones
+    if not size or rate == 15 or layout > 10 or width == 3 or number in (1, 8):
+        return None
+    p = 4 + max(1, number)
+    extra = {6: 1, 7: 2}.get(size, 0)
+    n = int.from_bytes(head[p : p + extra], "big") + 1 if extra else 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8
+    p += extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for x in head[:p]:
+        crc = _CRC8[crc ^ x]
+    if p >= len(head) or crc != head[p]:
+        return None
+    depth = {0: depth, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}[width]
+    channels, start = layout + 1 if layout < 8 else 2, at + p + 1
+    # Coded samples are hardly longer than plain ones; where they are, the rest of the value is looked at.
+    for room in (channels * (n * (depth + 1) // 8 + 1024), len(b)):
+        bits = np.unpackbits(np.frombuffer(b, np.uint8, max(0, min(room, len(b) - start)), start)).tobytes() if start < len(b) else b""
+        try:
+            used = _flac_bits(bits, channels, layout, n, depth)
+        except EOFError:
+            continue
+        if used is None:
+            return None
+        end = start + -(-used // 8) + 2
+        crc = 0
+        for x in b[at:end]:
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ x]
+        return (end, n) if end <= len(b) and not crc else None
+    return None
+
+
+def _flac_bits(bits: bytes, channels: int, layout: int, n: int, depth: int) -> int | None:
+    """Bits of a FLAC frame's subframes; raises EOFError where bits has fewer."""
+    p = 0
+
+    def read(k: int) -> int:
+        nonlocal p
+        if p + k > len(bits):
+            raise EOFError
+        value = 0
+        for x in bits[p : p + k]:
+            value = value * 2 + x
+        p += k
+        return value
+
+    def past_one() -> None:
+        nonlocal p
+        if (found := bits.find(1, p)) < 0:
+            raise EOFError
+        p = found + 1
+
+    for c in range(channels):
+        own = depth + ((layout == 8 and c == 1) or (layout == 9 and c == 0) or (layout == 10 and c == 1))
+        head = read(8)
+        if head >> 7:
+            return None
+        kind = head >> 1 & 63
+        if head & 1:  # wasted bits, in unary
+            before = p
+            past_one()
+            own -= p - before
+        if own < 1:
+            return None
+        if kind < 2:
+            p += own * (n if kind else 1)
+            continue
+        if 8 <= kind <= 12:
+            order = kind - 8
+            p += order * own
+        elif kind >= 32:
+            order = kind - 31
+            p += order * own
+            precision = read(4) + 1
+            if precision == 16:
+                return None
+            p += 5 + precision * order
+        else:
+            return None
+        wide, parts = read(2), read(4)
+        if wide > 1 or order > n >> parts or n & (1 << parts) - 1:
+            return None
+        for k in range(1 << parts):
+            count, width = (n >> parts) - (0 if k else order), 5 if wide else 4
+            parameter = read(width)
+            if parameter == (1 << width) - 1:
+                raw = read(5)
+                p += raw * count
+                continue
+            for _ in range(count):
+                past_one()
+                p += parameter
+    if p > len(bits):
+        raise EOFError
+    return p
+
+
 def _flac(b: bytes, at: int) -> int | None:
     p, first = at + 4, True
     while p + 4 <= len(b):
@@ -173,8 +320,14 @@ def _flac(b: bytes, at: int) -> int | None:
             return None
         p, first = p + 4 + n, False
         if last:
-            return len(b) if b[p : p + 1] == b"\xff" else None
-    return None
+            break
+    else:
+        return None
+    declared = int.from_bytes(b[at + 18 : at + 26], "big")
+    depth, samples, done = (declared >> 36 & 31) + 1, declared & (1 << 36) - 1, 0
+    while (not samples or done < samples) and (frame := _flac_frame(b, p, depth)):
+        p, done = frame[0], done + frame[1]
+    return p if done and done >= samples else None
 
 
 def _mp4(b: bytes, at: int) -> int | None:
@@ -189,15 +342,48 @@ def _mp4(b: bytes, at: int) -> int | None:
     return end if len(kinds) > 1 and b"moov" in kinds or b"moof" in kinds else None
 
 
+#: Bytes of a TIFF value of each kind; tags of places and lengths of data; tags of further directories.
+_TIFF_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
+_TIFF_DATA, _TIFF_MORE = ((273, 279), (324, 325), (513, 514)), (330, 34665, 34853, 40965)
+
+
 def _tiff(order: str):
     def check(b: bytes, at: int) -> int | None:
-        if at + 8 > len(b):
-            return None
-        p = struct.unpack_from(order + "I", b, at + 4)[0]
-        if p < 8 or at + p + 2 > len(b):
+        room, end, seen = len(b) - at, 8, set()
+        if room < 8:
             return None
-        n = struct.unpack_from(order + "H", b, at + p)[0]
-        return len(b) if n and at + p + 2 + 12 * n + 4 <= len(b) else None
+        left = [struct.unpack_from(order + "I", b, at + 4)[0]]
+        while left:
+            p = left.pop()
+            if p in seen:
+                continue
+            seen.add(p)
+            if p < 8 or p + 2 > room:
+                return None
+            n = struct.unpack_from(order + "H", b, at + p)[0]
+            if not n or p + 2 + 12 * n + 4 > room:
+                return None
+            end, values = max(end, p + 2 + 12 * n + 4), {}
+            for i in range(n):
+                tag, kind, count, place = struct.unpack_from(order + "HHII", b, at + p + 2 + 12 * i)
+                size = _TIFF_BYTES.get(kind, 0) * count
+                place = place if size > 4 else p + 2 + 12 * i + 8
+                if place + size > room:
+                    return None
+                end = max(end, place + size)
+                if kind in (3, 4, 13) and (tag in _TIFF_MORE or any(tag in pair for pair in _TIFF_DATA)):
+                    values[tag] = struct.unpack_from(f"{order}{count}{'H' if kind == 3 else 'I'}", b, at + place)
+            for places, lengths in _TIFF_DATA:
+                if len(values.get(places, ())) != len(values.get(lengths, ())):
+                    return None
+                for place, size in zip(values.get(places, ()), values.get(lengths, ())):
+                    if place + size > room:
+                        return None
+                    end = max(end, place + size)
+            left += [x for tag in _TIFF_MORE for x in values.get(tag, ())]
+            if following := struct.unpack_from(order + "I", b, at + p + 2 + 12 * n)[0]:
+                left.append(following)
+        return at + end
 
     return check
 

@@ -429,6 +429,76 @@ def test_media_formats(kind):
         assert media.media_in(body[: len(body) // 2]) == []
 
 
+def pdf(*updates):
+    """A PDF with a table of cross references, and one section more for each update."""
+    out = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    before = None
+    for body in (b"", *updates):
+        out += body
+        at = len(out)
+        out += b"xref\n0 1\n0000000000 65535 f \ntrailer\n<</Size 2" + (b"/Prev %d" % before if before else b"") + b">>\nstartxref\n%d\n%%%%EOF" % at
+        before = at
+    return out
+
+
+def linearized():
+    """The first section's table refers to the main one, which comes last; both ends name the first table."""
+    front = b"%PDF-1.4\n1 0 obj\n<</Linearized 1>>\nendobj\n"
+    first = len(front)
+    table = b"xref\n0 1\n0000000000 65535 f \ntrailer\n<</Size 2%s>>\nstartxref\n%d\n%%%%EOF"
+    main = first + len(table % (b"/Prev 00000", 0)) + 20
+    return front + table % (b"/Prev %05d" % main, 0) + b"2 0 obj\n<<>>\nendobj\n"[:20].ljust(20) + table % (b"", first)
+
+
+def tiff(order):
+    """Two directories: a strip behind the first, values by reference and two tiles behind the second."""
+    entry = lambda tag, kind, n, value: struct.pack(order + "HHII", tag, kind, n, value)
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8)
+    one = struct.pack(order + "H", 2) + entry(273, 4, 1, 38) + entry(279, 4, 1, 10) + struct.pack(order + "I", 48)
+    two = struct.pack(order + "H", 2) + entry(324, 4, 2, 78) + entry(325, 4, 2, 86) + struct.pack(order + "I", 0)
+    return head + one + b"P" * 10 + two + struct.pack(order + "IIII", 94, 104, 10, 7) + b"Q" * 17
+
+
+def crc(data, polynomial, bits):
+    value = 0
+    for x in data:
+        value ^= x << bits - 8
+        for _ in range(8):
+            value = (value << 1 ^ (polynomial if value >> bits - 1 & 1 else 0)) & (1 << bits) - 1
+    return value
+
+
+def flac(total=None):
+    """16-bit stereo in three frames: constant and verbatim, Rice codes of a fixed predictor, and a linear one with an escape."""
+    def frame(k, bits):
+        head = bytes([0xFF, 0xF8, 0x60, 0x18, k, 15])
+        body = head + bytes([crc(head, 7, 8)]) + int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+        return body + struct.pack(">H", crc(body, 0x8005, 16))
+
+    constant = "00000000" + "0" * 15 + "1"
+    verbatim = "00000010" + "".join(f"{i * 4099 % 65536:016b}" for i in range(16))
+    fixed = "00010100" + "0" * 32 + "00" + "0001" + "0011" + "".join("0" * (i % 5) + "1" + "101" for i in range(6)) + "0010" + "".join("1" + "01" for _ in range(8))
+    linear = "01000000" + "0" * 16 + "0011" + "00000" + "0101" + "00" + "0000" + "1111" + "00110" + "101101" * 15
+    frames = [frame(0, constant + verbatim), frame(1, fixed + constant), frame(2, linear + verbatim)]
+    info = struct.pack(">HH", 16, 16) + b"\0" * 6 + (44100 << 44 | 1 << 41 | 15 << 36 | (48 if total is None else total)).to_bytes(8, "big") + b"\0" * 16
+    return b"fLaC\x80\0\0\x22" + info + b"".join(frames)
+
+
+LONGER = {"updated": ("application/pdf", pdf(b"2 0 obj\n<<>>\nendobj\n", b"3 0 obj\n<<>>\nendobj\n")), "attached": ("application/pdf", pdf(b"4 0 obj\nstream\n" + pdf(b"x") + b"\nendstream\n")), "linearized": ("application/pdf", linearized()), "tiff <": ("image/tiff", tiff("<")), "tiff >": ("image/tiff", tiff(">")), "flac": ("audio/flac", flac()), "flac of unknown length": ("audio/flac", flac(0))}
+
+
+@pytest.mark.parametrize("name", LONGER)
+def test_media_ends(name):
+    """The whole medium and nothing behind it, where more of its kind, or another, follows."""
+    kind, body = LONGER[name]
+    assert media.media_in(body) == [(kind, 0, len(body))]
+    value, n, after = b"noise " + body + b"\xff tail " + png() + body + body, len(body), len(png())
+    places = [(kind, 6, n), ("image/png", 13 + n, after), (kind, 13 + n + after, n), (kind, 13 + 2 * n + after, n)]
+    assert media.media_in(value) == [(k, a, a + size) for k, a, size in places]
+    if kind != "application/pdf":
+        assert name == "flac of unknown length" or all(media.media_in(body[:k]) == [] for k in range(n))
+
+
 def test_sniffing(spark):
     rows = [(1, png(), "image/jpeg"), (2, b"text", "image/png"), (3, None, "image/png"), (4, b"", None), (5, b"head " + png() + GIF, "text/plain"), (6, GIF + png(), None)]
     df = spark.createDataFrame(rows, "i int, content binary, declared string")
