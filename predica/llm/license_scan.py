@@ -4,7 +4,8 @@ Paragraphs (lines; windows of WINDOW words overlapping by half where a line is l
 families or `unknown` by a multinomial logistic regression over word n-grams (one to three words) of the templates,
 sparse: any other n-gram only adds to the paragraph's length. It is trained here, in numpy, on altered copies of the
 templates (words lost, put in or replaced, ends cut off, put into prose) and, for `unknown`, on paragraphs of at most
-UNKNOWN_DOCS documents, those least by a hash of the id, and on shuffled template words. A held-out part calibrates the
+UNKNOWN_DOCS documents, those least by a hash of the id (UNKNOWN_PARAGRAPHS of them at most; FILLER_WORDS of their words
+are put into copies), and on shuffled template words. These bounds are of the training; scanning is whole. A held-out part calibrates the
 temperature and the prior of `unknown`. A predicted family is confirmed if one of its templates and the paragraph share
 80% of the five-word shingles of either.
 
@@ -27,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNKNOWN_DOCS = 300
+#: Bounds of the training: documents and paragraphs for `unknown`, words to alter copies with.
+UNKNOWN_DOCS, UNKNOWN_PARAGRAPHS, FILLER_WORDS = 300, 4000, 5000
 WINDOW = 48
 SHINGLE, SIMILARITY = 5, 0.8
 MIN_PROBABILITY = 0.5
@@ -252,8 +254,8 @@ def train(texts: list[str | None], seed: int = 3, copies: int = 40) -> Model:
     model, rng = Model(), np.random.default_rng(seed)
     plain = [w for t in texts for _, _, w, _ in paragraphs(t or "")]
     plain = [w for w in plain if not any(model.confirmed(f, w) for f in model.families[1:])]
-    plain = [plain[i] for i in rng.permutation(len(plain))[:4000]]
-    filler = list(dict.fromkeys(w for p in plain for w in p))[:5000] or ["word", "text", "line", "page"]
+    plain = [plain[i] for i in rng.permutation(len(plain))[:UNKNOWN_PARAGRAPHS]]
+    filler = list(dict.fromkeys(w for p in plain for w in p))[:FILLER_WORDS] or ["word", "text", "line", "page"]
     units, labels = [], []
     for family, text in TEMPLATES:
         words = words_of(text)
