@@ -573,6 +573,44 @@ def test_near_copies(make):
     assert {r.doc_id for r in stages.without_near_copies(make(rows)).select("doc_id").collect()} == kept
 
 
+def test_stages_against_brute_force(spark, make):
+    """What each stage keeps of planted toxic texts, exact and near copies, and the mix's words and all pieces of them."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(100)) + " scum scum scum" * (i % 4 == 0), "ab"[i % 2]) for i in range(80)]
+    rows += [(100 + i, rows[i][1].upper(), "a") for i in range(1, 12)] + [(200 + i, rows[i][1] + " extra", "b") for i in range(20, 40)]
+    labels = spark.createDataFrame([(i, 1, int("scum" in t.lower())) for i, t, _ in rows], "doc_id long, quality int, toxic int")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    clean = {i: t for i, t, _ in rows if "scum" not in t.lower()}
+    found = stages.without_toxic(make(rows).select("doc_id", "text", "lang", "source", "n_chars"), labels)
+    assert ids(found) == sorted(clean)
+    docs = make([r for r in rows if r[0] in clean])
+    last = {}
+    for i, t in clean.items():
+        last[t.lower()] = max(i, last.get(t.lower(), i))
+    unique = sorted(last.values())
+    assert ids(stages.without_copies(docs)) == unique
+    docs = make([r for r in rows if r[0] in unique])
+    kept = near_kept([(i, clean[i]) for i in unique])
+    assert len(kept) < len(unique) and ids(stages.without_near_copies(docs)) == sorted(kept)
+    final = [r for r in rows if r[0] in kept]
+    sizes = Counter()
+    for _, t, source in final:
+        sizes[source] += count(t)
+    want, taken, mixed_rows = shares(sizes), Counter(), [(r.doc_id, r.text, r.source) for r in stages.mixed(make(final)).collect()]
+    for i, t, source in mixed_rows:
+        taken[source] += count(t)
+        assert f"{clean[i]} ".startswith(f"{t} ")
+    assert all(abs(taken[s] - want[s]) <= 12 for s in want)
+    tokens = Counter()
+    for i, t, _ in mixed_rows:
+        tokens[i] += len(ids_of(t))
+    pieces = Counter()
+    for r in stages.packed(make(mixed_rows)).collect():
+        pieces[r.doc_id] += r.length
+    assert pieces == tokens
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
 def test_pipeline(spark):
     import corpus_pipeline
