@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.emit import emit
 from ..plans.ir import RuleError
 from ..sources import frontends, io
 from . import explain as _explain
@@ -97,9 +98,13 @@ class RuleService:
             found = self.manager.live.get(rule_id)
             if found is None:
                 raise RuleError(f"no rule {rule_id}")
-            rule = found.rule.expr
-        rule = rule or FLAGSHIP
-        out = _explain.explain(self._row(row or {}), frontends.parse(rule), ["_"]).first()
+            # As its own front-end reads it, before operands are joined: each failed part has a reason.
+            node = found.rule.node if found.rule.node is not None else frontends.parse(found.rule.expr, self.manager.frontend)
+            rule = found.rule.expr or emit(node)
+        else:
+            rule = rule or FLAGSHIP
+            node = frontends.parse(rule)
+        out = _explain.explain(self._row(row or {}), node, ["_"]).first()
         return {"passed": out.passed, "reasons": [r.asDict() for r in out.reasons], "rule": rule}
 
     def evaluate_all(self, uid: int, row: Mapping) -> dict:

@@ -8,10 +8,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lower import Lowering
 from . import bitmaps
 from .match import COLUMN_RULES, match_wide, matched_ids
 from .rules import RuleSet
 
+#: Up to so many rules, a report lists all of them.
+LISTED_RULES = 50
+#: Ranges of values whose running sums are made in parallel.
+RANGES = 128
+
 
 def rule_hits(df: DataFrame, rules: RuleSet, mode: str | None = None) -> DataFrame:
     """(rule_id, hits) of the rules with a hit. Tasks count first; a row for each rule and task is shuffled."""
@@ -27,10 +33,15 @@ def top_rules(hits: DataFrame, n: int = 0) -> DataFrame:
     return ordered.limit(n) if n > 0 else ordered
 
 
-def totals(df: DataFrame, rules: RuleSet, key: str) -> DataFrame:
-    """One row: users, rules, evaluations, hits, hit_rate (0 without evaluations)."""
-    wide = match_wide(df, rules, [key])
-    counted = wide.agg(F.count("*").alias("users"), F.coalesce(F.sum(F.size("rule_ids")), F.lit(0)).cast("long").alias("hits"))
+def totals(df: DataFrame, rules: RuleSet) -> DataFrame:
+    """One row: users, rules, evaluations, hits, hit_rate (0 without evaluations). Hits are counted, not listed."""
+    if len(rules) <= COLUMN_RULES:
+        lowering = Lowering(df)
+        each = sum((lowering.predicate(p.node).cast("int") for p in rules), F.lit(0))
+        counted = df.select(each.alias("n")).agg(F.count("*").alias("users"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("hits"))
+    else:  # rows count under the id -1
+        part = bitmaps.hits_by_rule(df, rules)
+        counted = part.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("n_rows", "users"), ("hits", "hits"))))
     evaluations = (F.col("users") * len(rules)).cast("long")
     return counted.select("users", F.lit(len(rules)).cast("long").alias("rules"), evaluations.alias("evaluations"), "hits", F.coalesce(F.try_divide(F.col("hits").cast("double"), evaluations), F.lit(0.0)).alias("hit_rate"))
 
@@ -53,9 +64,13 @@ def latency_percentiles(df: DataFrame, column: str, window: int = 4096, order: s
     if order:
         held = ranked.agg(F.collect_list("x").alias("xs"))
         return held.select(F.size("xs").cast("long").alias("samples"), *(nearest_rank(F.col("xs"), p / 100).alias(f"p{p}") for p in (50, 90, 99)))
-    # Exact over any number of values: counts by value, whose running sums say which value has a rank.
-    counts = ranked.groupBy("x").count()
-    sums = counts.selectExpr("x", "sum(count) OVER (ORDER BY x) AS upto", "sum(count) OVER () AS n")
+    # Exact over any number of values: counts by value, whose running sums say which value has a rank. The sums run in
+    # parallel, within ranges of values between approximate quantiles; only a row for each range is summed in one task.
+    found = ranked.agg(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)], 100 * RANGES)).first()[0] or []
+    cuts = F.array(*(F.lit(x) for x in sorted(set(found)))).cast("array<double>")
+    counts = ranked.groupBy("x").count().withColumn("part", F.size(F.filter(cuts, lambda c: c <= F.col("x"))))
+    parts = counts.groupBy("part").agg(F.sum("count").alias("own")).selectExpr("part", "sum(own) OVER (ORDER BY part) - own AS before", "sum(own) OVER () AS n")
+    sums = counts.join(F.broadcast(parts), "part").selectExpr("x", "before + sum(count) OVER (PARTITION BY part ORDER BY x) AS upto", "n")
     rank = lambda p: F.floor(F.lit(p / 100) * (F.col("n") - 1) + 0.5) + 1
     return sums.agg(F.coalesce(F.max("n"), F.lit(0)).alias("samples"), *(F.min(F.when(F.col("upto") >= rank(p), F.col("x"))).alias(f"p{p}") for p in (50, 90, 99)))
 
@@ -119,6 +134,16 @@ class Stats:
         return out
 
 
+    def listing(self, names: dict[int, str] | None = None, top: int = 10) -> str:
+        """Every rule's hits where there are few rules, else the `top` rules with most hits."""
+        if self.rules <= LISTED_RULES:
+            return self.rule_report(names)
+        if top <= 0 or not self.per_rule:
+            return ""
+        lines = [f"  #{i} {(names or {}).get(i, ''):<12} hits={n:,}\n" for i, n in self.top_rules(top)]
+        return f"Top {top} rules by hits:\n" + "".join(lines)
+
+
 def _duration(seconds: float) -> str:
     """Whole milliseconds as text: 420ms, 4.2s, 1m3.5s."""
     ms = round(seconds * 1000)

@@ -19,6 +19,21 @@ def convert(text: str, dsl: str, frontend: str = "native") -> str:
     return emit(frontends.parse(text, frontend), dsl)
 
 
+def export_text(rules: Iterable[Rule], dsl: str, source: str = "", frontend: str = "native") -> str:
+    """A report of rules and their text in a dialect; a rule that doesn't parse has its error there."""
+    if dsl not in DSLS:
+        raise RuleError(f"unknown dialect {dsl!r}")
+    rules = list(rules)
+    out = f"# converting {len(rules)} rules from {source} to {dsl}\n\n"
+    for rule in rules:
+        try:
+            text = convert(rule.expr, dsl, frontend)
+        except RuleError as e:
+            text = f"<error: {e}>"
+        out += f"# rule {rule.id} {rule.name}\nSQL : {rule.expr}\n{dsl:<4}: {text}\n\n"
+    return out
+
+
 def export(spark: SparkSession, rules: Iterable[Rule], dsls: Iterable[str] = DSLS, frontend: str = "native") -> DataFrame:
     """(rule_id, name, source, dsl, text, error); a rule that doesn't parse has an error in place of its text."""
     rows = []

@@ -133,8 +133,8 @@ _HITS = f"SELECT CAST(rule_id AS BIGINT) AS rule_id, count(*) AS hits FROM ({_LO
 _add("rule_hits", lambda spark, d: st.rule_hits(customers(spark, d), rule_set(), "columns"), _HITS)
 _add("rule_hits_bitmaps", lambda spark, d: st.rule_hits(customers(spark, d), rule_set(), "bitmaps"), _HITS)
 _add("top_rules", lambda spark, d: st.top_rules(st.rule_hits(customers(spark, d), rule_set()), 3), f"{_HITS} ORDER BY hits DESC, rule_id LIMIT 3")
-_add("stats_totals", lambda spark, d: st.totals(customers(spark, d), rule_set(), "c_custkey"), f"SELECT users, CAST(6 AS BIGINT) AS rules, users * 6 AS evaluations, hits, hits / (users * 6.0)::DOUBLE AS hit_rate FROM (SELECT (SELECT count(*) FROM customer) AS users, count(*) AS hits FROM ({_LONG}) h)")
-_add("hit_rate", lambda spark, d: st.totals(customers(spark, d), rule_set(), "c_custkey").select(F.round("hit_rate", 9).alias("hit_rate")), f"SELECT round(count(*) / (6.0 * (SELECT count(*) FROM customer))::DOUBLE, 9) AS hit_rate FROM ({_LONG}) h")
+_add("stats_totals", lambda spark, d: st.totals(customers(spark, d), rule_set()), f"SELECT users, CAST(6 AS BIGINT) AS rules, users * 6 AS evaluations, hits, hits / (users * 6.0)::DOUBLE AS hit_rate FROM (SELECT (SELECT count(*) FROM customer) AS users, count(*) AS hits FROM ({_LONG}) h)")
+_add("hit_rate", lambda spark, d: st.totals(customers(spark, d), rule_set()).select(F.round("hit_rate", 9).alias("hit_rate")), f"SELECT round(count(*) / (6.0 * (SELECT count(*) FROM customer))::DOUBLE, 9) AS hit_rate FROM ({_LONG}) h")
 _add("per_user_hits", lambda spark, d: st.hit_counts(customers(spark, d), rule_set(), "c_custkey"), f"SELECT c.c_custkey, count(rule_id) AS hits FROM customer c LEFT JOIN ({_LONG}) h ON h.c_custkey = c.c_custkey GROUP BY c.c_custkey")
 _add("latency_percentiles", lambda spark, d: st.latency_percentiles(table(spark, d, "events"), "value"), "SELECT count(*) AS samples, list_sort(list(value))[CAST(floor(0.5 * (count(*) - 1) + 0.5) AS BIGINT) + 1] AS p50, list_sort(list(value))[CAST(floor(0.9 * (count(*) - 1) + 0.5) AS BIGINT) + 1] AS p90, list_sort(list(value))[CAST(floor(0.99 * (count(*) - 1) + 0.5) AS BIGINT) + 1] AS p99 FROM events")
 _add("latency_window", lambda spark, d: st.latency_percentiles(table(spark, d, "events"), "value", 512, "event_id"), "WITH w AS (SELECT value FROM events ORDER BY event_id DESC LIMIT 512) SELECT count(*) AS samples, list_sort(list(value))[CAST(floor(0.5 * (count(*) - 1) + 0.5) AS BIGINT) + 1] AS p50, list_sort(list(value))[CAST(floor(0.9 * (count(*) - 1) + 0.5) AS BIGINT) + 1] AS p90, list_sort(list(value))[CAST(floor(0.99 * (count(*) - 1) + 0.5) AS BIGINT) + 1] AS p99 FROM w")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+
 from ..operators.rules import Rule
 from ..plans.emit import emit
 from ..plans.ir import Logic, RuleError
@@ -39,7 +41,13 @@ class DecisionTable:
         return out
 
 
-def load(path: str) -> DecisionTable:
-    """A decision table from a JSON file on the driver."""
-    with open(path, encoding="utf-8") as f:
-        return DecisionTable.of(json.load(f))
+def load(spark: SparkSession, path: str) -> DecisionTable:
+    """A decision table from a JSON file, on any file system that Spark reads."""
+    rows = spark.read.text(path, wholetext=True).collect()
+    try:
+        found = json.loads(rows[0].value) if len(rows) == 1 else None
+    except ValueError as e:
+        raise RuleError(f"{path}: {e}") from None
+    if not isinstance(found, dict):
+        raise RuleError(f"{path}: not one decision table")
+    return DecisionTable.of(found)

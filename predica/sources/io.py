@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import dataclasses
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,8 +111,20 @@ def write_rules(spark: SparkSession, rules: Iterable[Rule], path: str) -> None:
 
 
 def write_users(df: DataFrame, path: str) -> None:
-    """Rows as JSON lines."""
-    df.write.mode("overwrite").json(path)
+    """Rows as JSON arrays, one in each file of the folder `path`, as read_users() reads them. Null fields are left out."""
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            lines = batch.column("value").to_pylist()
+            if lines:
+                texts = lines if before is None else [before, *lines]
+                out = [f"  {x}," for x in texts[:-1]]
+                yield pa.RecordBatch.from_arrays([pa.array((["["] if before is None else []) + out, pa.string())], names=["value"])
+                before = texts[-1]
+        yield pa.RecordBatch.from_arrays([pa.array([f"  {before}", "]"] if before is not None else ["[]"], pa.string())], names=["value"])
+
+    df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("value")).mapInArrow(arrays, "value string").write.mode("overwrite").text(path)
 
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, latest: bool = True, most: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,16 +50,23 @@ OUTPUT = "customer_id long, merchant_code string, current_date_key string, curre
 def _accumulate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     now = list(state.get) if state.exists else [None, None, None, 0, 0, 0, 0, None, None, None, None]
     for beats in batches:
-        for b in beats.itertuples(index=False):
-            for place, period in enumerate((b.day, b.week, b.month)):
-                same = now[place] == period
-                now[3 + place] = (now[3 + place] if same else 0) + int(b.interval_sec)
-                if place == 0:
-                    now[6] = (now[6] if same else 0) + 1
-                now[place] = period
-            for place, limit in enumerate((b.daily_limit_sec, b.weekly_limit_sec, b.monthly_limit_sec)):
-                now[7 + place] = now[7 + place] if pd.isna(limit) else int(limit)
-            now[10] = b.beat_at.to_pydatetime()
+        if beats.empty:
+            continue
+        seconds = beats["interval_sec"].to_numpy(np.int64)
+        for place, column in enumerate(("day", "week", "month")):
+            # Only the beats since the period last changed count.
+            periods = beats[column].to_numpy()
+            others = np.flatnonzero(periods != periods[-1])
+            first = int(others[-1]) + 1 if len(others) else 0
+            goes_on = first == 0 and now[place] == periods[-1]
+            now[3 + place] = (now[3 + place] if goes_on else 0) + int(seconds[first:].sum())
+            if place == 0:
+                now[6] = (now[6] if goes_on else 0) + len(seconds) - first
+            now[place] = periods[-1]
+        for place, column in enumerate(("daily_limit_sec", "weekly_limit_sec", "monthly_limit_sec")):
+            known = beats[column].dropna()
+            now[7 + place] = int(known.iloc[-1]) if len(known) else now[7 + place]
+        now[10] = beats["beat_at"].iloc[-1].to_pydatetime()
     state.update(tuple(now))
     yield pd.DataFrame([(*key, *now)], columns=[c.strip().split(" ")[0] for c in OUTPUT.split(",")])
 

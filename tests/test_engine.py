@@ -45,9 +45,9 @@ def test_known_answers(spark):
     assert figures.top_rules(2) == [(1, 1), (2, 1)]
     assert "Eval=15\n" in figures.report() and "Total User=3\n" in figures.report()
     assert figures.rule_report(rules.names).splitlines()[0] == "Rule1        Hit 1        广东高价值男性"
-    one = stats.totals(users, rules, "uid").first()
+    one = stats.totals(users, rules).first()
     assert (one.users, one.evaluations, one.hits, round(one.hit_rate, 6)) == (3, 15, 5, 0.333333)
-    empty = stats.totals(users.limit(0), rules, "uid").first()
+    empty = stats.totals(users.limit(0), rules).first()
     assert (empty.users, empty.hits, empty.hit_rate) == (0, 0, 0.0)
 
 
