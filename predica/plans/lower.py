@@ -40,6 +40,8 @@ class Operand:
     number: Column | None
     text_of: Callable[[], Column]
     nullable: bool = True
+    #: Of a dynamic field: its text where it isn't a number.
+    plain: Column | None = None
 
     @cached_property
     def text(self) -> Column:
@@ -73,10 +75,10 @@ def dynamic_operand(column: str, name: str) -> Operand:
     """A field of a variant column: its type is that of each value; nested values are missing."""
     value = F.variant_get(F.col(column), "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']", "variant")
     kind = F.schema_of_variant(value)
-    numeric = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$")
-    number = F.when(numeric, F.try_variant_get(value, "$", "double"))
-    text = F.when(numeric, number_text(number)).when(kind.isin("STRING", "BOOLEAN"), F.try_variant_get(value, "$", "string"))
-    return Operand("dynamic", text, number, lambda: text)
+    numeric, plain = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"), kind.isin("STRING", "BOOLEAN")
+    number, said = F.when(numeric, F.try_variant_get(value, "$", "double")), F.when(plain, F.try_variant_get(value, "$", "string"))
+    # The text of a number is a long expression, which only comparisons with strings, IN and LIKE need.
+    return Operand("dynamic", F.when(numeric | plain, F.lit(True)), number, lambda: F.coalesce(said, number_text(number)), True, said)
 
 
 class Lowering:
@@ -149,7 +151,7 @@ class Lowering:
             return _apply(op, o.text, F.lit(value.as_text))
         numeric = self._order(o, op, value)
         if o.kind == "dynamic":
-            return F.when(o.number.isNotNull(), numeric).otherwise(_apply(op, o.text, F.lit(value.as_text)))
+            return F.when(o.number.isNotNull(), numeric).otherwise(_apply(op, o.plain, F.lit(value.as_text)))
         return numeric
 
     def _order(self, o: Operand, op: str, value: Value) -> Column:

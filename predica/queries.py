@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
+import datetime
 import json
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +15,14 @@ from .functions.text import number_text
 from .operators import explain as ex
 from .operators import match as mt
 from .operators import stats as st
-from .operators.rules import Manager, Rule, RuleSet, rules_frame, versions_frame
-from .operators.translate import export
+from .operators.rules import Manager, Rule, RuleSet, compile_rule, rules_frame, versions_frame
+from .operators.service import FLAGSHIP, SAMPLE, RuleService
+from .operators.translate import export, export_text
+from .plans.ir import RuleError, fields
 from .plans.lower import Lowering, filter_rows
 from .sources import frontends, generator, io
 from .sources.decision_table import DecisionTable
+from .sources.decision_table import load as load_table
 from .streaming import match as sm
 from .streaming import usage
 
@@ -44,6 +47,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _VIEWS = {
     "customer": (lambda df: df.withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("BUILDING"))).withColumn("c_acctbal", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal"))), "c_custkey", "(SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 7 != 0 THEN c_acctbal END AS c_acctbal, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer)"),
     "part": (lambda df: df.withColumn("p_brand", F.when(F.col("p_partkey") % 11 != 0, F.col("p_brand"))), "p_partkey", "(SELECT p_partkey, p_name, CASE WHEN p_partkey % 11 != 0 THEN p_brand END AS p_brand, p_type, p_size, p_retailprice FROM part)"),
+    # Some types have an underscore where others have a letter.
+    "underscored": (lambda df: df.withColumn("p_type", F.when(F.col("p_partkey") % 2 == 0, F.translate("p_type", "E", "_")).otherwise(F.col("p_type"))), "p_partkey", "(SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN replace(p_type, 'E', '_') ELSE p_type END AS p_type FROM part)"),
     "events": (lambda df: df, "event_id", "events"),
     "orders": (lambda df: df, "o_orderkey", "orders"),
 }
@@ -52,12 +57,13 @@ _VIEWS = {
 def _filter(name: str, view: str, rule: str, where: str, frontend: str = "native") -> None:
     """A query that keeps the rows for which a rule holds; `where` is its two-valued SQL."""
     change, key, source = _VIEWS[view]
-    _add(name, lambda spark, d: filter_rows(change(table(spark, d, view)), frontends.parse(rule, frontend)).select(key), f"SELECT {key} FROM {source} WHERE coalesce({where}, false)")
+    name_of = {"underscored": "part"}.get(view, view)
+    _add(name, lambda spark, d: filter_rows(change(table(spark, d, name_of)), frontends.parse(rule, frontend)).select(key), f"SELECT {key} FROM {source} WHERE coalesce({where}, false)")
 
 
 for _op, _sign in {"eq": "=", "ne": "!=", "gt": ">", "ge": ">=", "lt": "<", "le": "<="}.items():
     _filter(f"cmp_{_op}_number", "customer", f"c_nationkey {_sign} 12", f"c_nationkey {_sign} 12")
-    _filter(f"cmp_{_op}_double", "customer", f"c_acctbal {_sign} 1000.5", f"c_acctbal {_sign} 1000.5")
+    _filter(f"cmp_{_op}_double", "part", f"p_retailprice {_sign} 901.5", f"p_retailprice {_sign} 901.5")
     _filter(f"cmp_{_op}_text", "customer", f"c_mktsegment {_sign} 'FURNITURE'", f"c_mktsegment {_sign} 'FURNITURE'")
 _filter("cmp_double_equals", "customer", "c_nationkey == 3", "c_nationkey = 3")
 _filter("cmp_angle_ne", "customer", "c_nationkey <> 3", "c_nationkey <> 3")
@@ -69,10 +75,10 @@ _filter("in_number_raw_text", "part", "p_size IN (1, 2.0, '3', 04)", "p_size IN
 _filter("not_in_null", "customer", "c_mktsegment NOT IN ('MACHINERY')", "NOT coalesce(c_mktsegment IN ('MACHINERY'), false)")
 _filter("like_prefix", "part", "p_brand LIKE 'Brand#1%'", "starts_with(p_brand, 'Brand#1')")
 _filter("like_suffix", "part", "p_brand LIKE '%3'", "ends_with(p_brand, '3')")
-_filter("like_contains", "part", "p_name LIKE '%1%'", "contains(p_name, '1')")
+_filter("like_contains", "part", "p_name LIKE '%l w%'", "contains(p_name, 'l w')")
 _filter("like_exact", "part", "p_brand LIKE 'Brand#13'", "p_brand = 'Brand#13'")
-_filter("like_underscore_literal", "part", "p_brand LIKE 'Brand_1%'", "starts_with(p_brand, 'Brand_1')")
-_filter("like_number_text", "part", "p_retailprice LIKE '9%'", "starts_with(CAST(p_retailprice AS VARCHAR), '9')")
+_filter("like_underscore_literal", "underscored", "p_type LIKE 'M_D%'", "starts_with(p_type, 'M_D')")
+_filter("like_number_text", "part", "p_retailprice LIKE '%.5'", "ends_with(CAST(p_retailprice AS VARCHAR), '.5')")
 _filter("not_like_null", "part", "p_brand NOT LIKE 'Brand#1%'", "NOT coalesce(starts_with(p_brand, 'Brand#1'), false)")
 _filter("is_null", "customer", "c_mktsegment IS NULL", "c_mktsegment IS NULL")
 _filter("is_not_null", "customer", "c_mktsegment IS NOT NULL", "c_mktsegment IS NOT NULL")
@@ -209,9 +215,9 @@ _add("dynamic_json_fields", _dynamic, "SELECT event_id FROM events WHERE CAST(js
 
 def _round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Rules through a JSON file."""
-    folder = tempfile.mkdtemp(prefix="predica-rules-")
-    io.write_rules(spark, RULES, f"{folder}/rules")
-    loaded = io.read_rules(spark, f"{folder}/rules")
+    folder = io.shared_folder(spark, "rules")
+    io.write_rules(spark, RULES, folder)
+    loaded = io.read_rules(spark, folder)
     return st.rule_hits(customers(spark, d), RuleSet.load(loaded)[0])
 
 
@@ -273,7 +279,7 @@ def _drained(spark: SparkSession, d: str, transform: Callable[[DataFrame], DataF
     """
     source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet")
     rows = source.parquet(f"{d}/event[s].parquet")  # a stream's path is a folder or a pattern
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='predica-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = io.shared_folder(spark, "stream")
 
     def write(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
@@ -304,6 +310,203 @@ _add("terms_idempotent_insert", lambda spark, d: (lambda o: usage.new_agreements
 _add("terms_latest", lambda spark, d: usage.latest_agreements(table(spark, d, "orders").selectExpr("o_orderkey AS id", "o_custkey AS customer_id", "o_orderstatus AS merchant_code", "1 AS node_id", "o_orderpriority AS version_no")), f"SELECT max(o_orderkey) AS id, {_TERMS} FROM orders GROUP BY ALL")
 
 
+# --- Facts: what calls answer, a row for each; the SQL has the answers that are to be expected -------------------
+
+def _facts(name: str, found: Callable[[SparkSession, str], Iterable[tuple[str, object]]], want: Iterable[tuple[str, object]]) -> None:
+    quoted = lambda x: "'" + str(x).replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in want)
+    _add(name, lambda spark, d: spark.createDataFrame([(a, str(b)) for a, b in found(spark, d)], "item string, said string"), f"SELECT item, said FROM (VALUES {values}) AS v(item, said)")
+
+
+def _refused(call: Callable[[], object]) -> bool:
+    try:
+        call()
+    except RuleError:
+        return True
+    return False
+
+
+def _users_file(spark: SparkSession, d: str) -> DataFrame:
+    path = io.shared_folder(spark, "users")
+    rows = customers(spark, d).select((F.col("c_custkey") + 1).alias("uid"), "c_mktsegment", "c_acctbal")
+    io.write_users(rows, path)
+    return io.read_users(spark, path, "uid bigint, c_mktsegment string, c_acctbal double")
+
+
+_add("users_file_round_trip", _users_file, f"SELECT c_custkey + 1 AS uid, c_mktsegment, c_acctbal FROM {_CUSTOMER}")
+
+
+@dataclasses.dataclass
+class _Person:
+    uid: int
+    age: int | None
+    city: str | None
+
+
+_PEOPLE = [_Person(1, 30, "a"), _Person(2, None, "b"), _Person(3, 17, None), {"uid": 4, "age": 65, "city": "b"}]
+_add("typed_records", lambda spark, d: mt.match_long(io.users_of_records(spark, _PEOPLE), RuleSet.load([Rule(1, "adult", "age >= 18"), Rule(2, "b", "city = 'b'", 3)])[0], ["uid"]), "SELECT * FROM (VALUES (1::BIGINT, 0, 1::BIGINT, 'adult'), (2, 0, 2, 'b'), (4, 0, 2, 'b'), (4, 1, 1, 'adult')) AS v(uid, place, rule_id, rule_name)")
+
+
+def _many_rules() -> list[Rule]:
+    """More rules than are lowered to columns."""
+    return [Rule(i, f"r{i}", f"c_nationkey >= {i} OR c_mktsegment = 'MACHINERY' AND c_acctbal > {100 * i}", i % 3) for i in range(1, 13)]
+
+
+_MANY = " UNION ALL ".join(f"SELECT c_custkey, {i} AS rule_id, {-(i % 3)} AS p, c_nationkey, c_mktsegment, c_acctbal, coalesce(c_nationkey >= {i} OR c_mktsegment = 'MACHINERY' AND c_acctbal > {100 * i}, false) AS ok FROM {_CUSTOMER} c{i}" for i in range(1, 13))
+_add("gate_of_many_rules", lambda spark, d: ex.gate(customers(spark, d), RuleSet.load(_many_rules())[0], ["c_custkey"]).select("c_custkey", "total_rules", "passed_count", "passed", F.array_join("passed_rule_ids", ",").alias("ids"), F.array_join(F.transform("failed", lambda f: F.concat(f["rule_id"].cast("string"), F.lit(": "), f["reasons"][0]["detail"])), " | ").alias("why")),
+     f"""SELECT c_custkey, 12 AS total_rules, CAST(count(*) FILTER (ok) AS INTEGER) AS passed_count, bool_and(ok) AS passed, coalesce(string_agg(rule_id, ',' ORDER BY p, rule_id) FILTER (ok), '') AS ids,
+     coalesce(string_agg(concat(rule_id, ': no OR alternative held — c_nationkey=', c_nationkey, ' does not satisfy >= ', rule_id, CASE WHEN coalesce(c_mktsegment, '') <> 'MACHINERY' THEN concat('; c_mktsegment=', coalesce(c_mktsegment, '<null>'), ' does not satisfy = ', chr(39), 'MACHINERY', chr(39)) ELSE '' END, CASE WHEN NOT coalesce(c_acctbal > 100 * rule_id, false) THEN concat('; c_acctbal=', coalesce(regexp_replace(c_acctbal::VARCHAR, '\\.0$', ''), '<null>'), ' does not satisfy > ', 100 * rule_id) ELSE '' END), ' | ' ORDER BY p, rule_id) FILTER (NOT ok), '') AS why FROM ({_MANY}) GROUP BY c_custkey""")
+_add("response_of_many_rules", lambda spark, d: mt.response(customers(spark, d), RuleSet.load(_many_rules())[0], "c_custkey").select("c_custkey", "hits", F.array_join("rule_names", "|").alias("names")), f"SELECT c_custkey, CAST(count(*) FILTER (ok) AS INTEGER) AS hits, coalesce(string_agg('r' || rule_id, '|' ORDER BY p, rule_id) FILTER (ok), '') AS names FROM ({_MANY}) GROUP BY c_custkey")
+_DYNAMIC_RULES = [Rule(i, f"d{i}", e) for i, e in enumerate(["k >= 50", "k < 10", "k = '7'", "k IN (1, 2, 3)", "k LIKE '%5'", "k IS NULL", "NOT (k = 3)", "gone = 1", "k BETWEEN 20 AND 30", "k != 99"])]
+_add("match_dynamic_rows", lambda spark, d: (lambda rows: mt.match_wide(rows, RuleSet.load(_DYNAMIC_RULES)[0], ["event_id"], variant="fields"))(io.users_of_json(table(spark, d, "events"), "props")).select("event_id", F.array_join("rule_ids", ",").alias("ids")),
+     "SELECT event_id, concat_ws(',', CASE WHEN k >= 50 THEN '0' END, CASE WHEN k < 10 THEN '1' END, CASE WHEN t = '7' THEN '2' END, CASE WHEN t IN ('1', '2', '3') THEN '3' END, CASE WHEN t LIKE '%5' THEN '4' END, CASE WHEN t IS NULL THEN '5' END, CASE WHEN k <> 3 OR k IS NULL THEN '6' END, CASE WHEN k BETWEEN 20 AND 30 THEN '8' END, CASE WHEN k <> 99 THEN '9' END) AS ids FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, json_extract_string(props, '$.k') AS t FROM events)")
+
+
+def _batch_figures(spark: SparkSession, d: str) -> DataFrame:
+    s = st.run_batch(customers(spark, d), rule_set())
+    return spark.createDataFrame([(s.users, s.rules, s.evaluations, s.hits, s.top_rules(1)[0][0])], "users long, rules long, evaluations long, hits long, top long")
+
+
+_add("run_batch", _batch_figures, f"SELECT (SELECT count(*) FROM customer) AS users, 6::BIGINT AS rules, 6 * (SELECT count(*) FROM customer) AS evaluations, sum(hits)::BIGINT AS hits, (SELECT rule_id FROM ({_HITS}) ORDER BY hits DESC, rule_id LIMIT 1) AS top FROM ({_HITS})")
+#: The published figures of a batch.
+_FIGURES = st.Stats(10_000, 10_000, 356_128, 4.2, 32, {1: 5, 2: 9, 7: 9})
+_facts("batch_rates", lambda spark, d: [("tps", round(_FIGURES.tps)), ("qps", round(_FIGURES.qps)), ("latency", f"{_FIGURES.latency_ms:.3f}"), ("none", [st.Stats(0, 5, 0, 0.0).tps, st.Stats(0, 5, 0, 0.0).hit_rate])], [("tps", 23809524), ("qps", 2381), ("latency", "0.420"), ("none", "[0.0, 0.0]")])
+_facts("batch_report", lambda spark, d: [tuple(line.split("=", 1)) for line in _FIGURES.report().splitlines()], [("Worker", 32), ("Total User", "10,000"), ("Rule", "10,000"), ("Hit", "356,128"), ("Eval", "100,000,000"), ("Elapsed", "4.2s"), ("TPS", "23,809,523"), ("QPS", "2,380"), ("Latency", "0.420ms"), ("HitRate", "0.3561%")])
+_facts("rule_listing", lambda spark, d: [("many", _FIGURES.listing({2: "two"}, 2)), ("few", dataclasses.replace(_FIGURES, rules=50).listing({2: "two"}, 2)), ("none", repr(_FIGURES.listing(top=0)))],
+       [("many", "Top 2 rules by hits:\n  #2 two          hits=9\n  #7              hits=9\n"), ("few", "Rule1        Hit 5\nRule2        Hit 9        two\nRule7        Hit 9\n"), ("none", "''")])
+
+
+def _service(spark: SparkSession) -> RuleService:
+    return RuleService(spark, Manager([Rule(1, "adult", "age >= 18 AND age >= 18", 1), Rule(2, "b", "city IN ('b')", 5), Rule(3, "off", "age > 0", enabled=False)]))
+
+
+_facts("service_match", lambda spark, d: (lambda s: [("one", s.match({"age": 30, "city": "b"})), ("none", s.match({"age": 3})), ("count", s.rule_count), ("name", s.rule_name(2)), ("draft", [s.test("age > 30", {"age": 31}), s.test("age > 30", {})])])(_service(spark)),
+       [("one", [2, 1]), ("none", []), ("count", 2), ("name", "b"), ("draft", [True, False])])
+
+
+def _evaluated(spark: SparkSession, d: str) -> list[tuple[str, object]]:
+    s, parsed = _service(spark), RuleService(spark, Manager([Rule(5, "j", '{"field": "age", "op": ">", "value": -1}')], "json"))
+    table_rule = DecisionTable.of({"id_base": 70, "rows": [{"name": "cold", "when": [{"field": "t", "op": "<", "value": -5}]}]}).rules()[0]
+    tables = RuleService(spark, Manager([table_rule, dataclasses.replace(table_rule, id=71, expr="")]))
+    said = lambda out: [out["passed"], out["rule"], [r["detail"] for r in out["reasons"]]]
+    return [
+        ("text", said(s.evaluate({"age": 5}, "age > 6 OR city = 'x'"))),
+        ("stored", said(s.evaluate({"age": 5}, rule_id=1))),
+        ("json", said(parsed.evaluate({"age": 0}, rule_id=5))),
+        ("table", said(tables.evaluate({"t": 3}, rule_id=70))),
+        ("node only", said(tables.evaluate({"t": -9}, rule_id=71))),
+        ("built in", s.evaluate(SAMPLE)["passed"]),
+        ("without a row", s.evaluate(None, "age IS NULL")["passed"]),
+        ("unknown id", _refused(lambda: s.evaluate({}, rule_id=99))),
+        ("disabled id", _refused(lambda: s.evaluate({}, rule_id=3))),
+    ]
+
+
+_facts("service_evaluate", _evaluated, [
+    ("text", [False, "age > 6 OR city = 'x'", ["no OR alternative held — age=5 does not satisfy > 6; city=<null> does not satisfy = 'x'"]]),
+    ("stored", [False, "age >= 18 AND age >= 18", ["age=5 does not satisfy >= 18"] * 2]),
+    ("json", [True, '{"field": "age", "op": ">", "value": -1}', []]),
+    ("table", [False, "t < -5", ["t=3 does not satisfy < -5"]]),
+    ("node only", [True, "t < -5", []]),
+    ("built in", True), ("without a row", True), ("unknown id", True), ("disabled id", True)])
+_facts("service_evaluate_all", lambda spark, d: (lambda s, out: [("gate", [out[k] for k in ("uid", "total_rules", "passed_count", "failed_count", "passed", "passed_rule_ids", "failed_rule_ids")]), ("failed", [[f["name"], f["rule"], len(f["reasons"])] for f in out["failed"]]), ("no row", _refused(lambda: s.evaluate_all(1, {}))), ("no rules", RuleService(spark).evaluate_all(1, {"a": 1})["passed"])])(_service(spark), _service(spark).evaluate_all(7, {"age": 5, "city": "b"})),
+       [("gate", [7, 2, 1, 1, False, [2], [1]]), ("failed", [["adult", "age >= 18 AND age >= 18", 1]]), ("no row", True), ("no rules", False)])
+_facts("flagship_rule", lambda spark, d: (lambda s: [("holds", s.test(FLAGSHIP, SAMPLE))] + [(k, s.test(FLAGSHIP, SAMPLE | {k: v})) for k, v in (("occupation", "在校学生"), ("risk_level", "高"), ("order_count", 2), ("credit_score", 999), ("marital_status", "未知"))])(_service(spark)),
+       [("holds", True), ("occupation", False), ("risk_level", False), ("order_count", True), ("credit_score", False), ("marital_status", False)])
+_facts("service_self_test", lambda spark, d: (lambda t: [("steps", [(n, c) for n, c, _ in t.steps]), ("added", t.added), ("removed", t.removed)])(_service(spark).self_test()), [("steps", [("before", 2), ("after_add", 3), ("after_remove", 2)]), ("added", True), ("removed", True)])
+_facts("metrics_text", lambda spark, d: [(line.split(" ")[0], line.split(" ")[1]) for line in _service(spark).metrics(spark.range(1, 101).select(F.col("id").cast("double").alias("ms"))).splitlines() if not line.startswith("#")],
+       [("rule_engine_rules", 2), ("rule_engine_versions", 0), ("rule_engine_max_concurrency", 200), ('rule_engine_match_latency_ms{quantile="0.5"}', "51.000"), ('rule_engine_match_latency_ms{quantile="0.9"}', "90.000"), ('rule_engine_match_latency_ms{quantile="0.99"}', "99.000"), ("rule_engine_match_latency_samples", 100)])
+
+
+def _edited(spark: SparkSession, d: str) -> list[tuple[str, object]]:
+    rules, loaded, failed = RuleSet.load([Rule(1, expr="a = 1"), Rule(2, expr="a >"), Rule(1, expr="a = 2", priority=3), Rule(4, expr="a = 4", enabled=False)])
+    merged, *counts = rules.merged([Rule(1, expr="a = 9", enabled=False), Rule(5, expr="b = 1", priority=9)])
+    manager = Manager(RULES[:2])
+    held = manager.live
+    manager.upsert(Rule(9, expr="a = 1", priority=99))
+    return [
+        ("loaded", [loaded, failed, [(p.id, p.rule.expr) for p in rules]]),
+        ("merged", [counts, [p.id for p in merged]]),
+        ("added", [p.id for p in rules.with_rule(Rule(8, expr="c = 1"))]),
+        ("refused", [_refused(lambda: rules.with_rule(Rule(8, expr="c = 1", enabled=False))), _refused(lambda: rules.with_rule(Rule(8, expr="c ="))), _refused(lambda: manager.upsert(Rule(0, expr="a = 1")))]),
+        ("removed", [len(rules.without(1)), len(rules.without(77))]),
+        ("replaced", [manager.replace([Rule(3, expr="a = 1"), Rule(6, expr="a")]), [p.id for p in manager.live], [r.id for r in manager.list()]]),
+        ("snapshot", [len(held), held.get(1).rule.name, held.get(9)]),
+    ]
+
+
+_facts("rule_set_edits", _edited, [("loaded", [2, 1, [(1, "a = 2")]]), ("merged", [[1, 0], [5, 1]]), ("added", [1, 8]), ("refused", [True, True, True]), ("removed", [0, 1]), ("replaced", [(1, 1), [3], [3, 6]]), ("snapshot", [2, "rich", None])])
+
+
+def _reloaded(spark: SparkSession, d: str) -> list[tuple[str, object]]:
+    path, manager, seen = io.shared_folder(spark, "reload"), Manager(), []
+    source = sm.RuleFile(spark, path, manager, lambda loaded, failed: seen.append((loaded, failed)))
+    missing = source.refresh()
+    io.write_rules(spark, [Rule(1, expr="a = 1"), Rule(2, expr="a")], path)
+    return [("missing", missing), ("written", source.refresh()), ("again", source.refresh()), ("seen", seen), ("live", len(manager.live))]
+
+
+_facts("rule_file_reload", _reloaded, [("missing", False), ("written", True), ("again", False), ("seen", [(1, 1)]), ("live", 1)])
+
+
+def _walked(spark: SparkSession, d: str) -> list[tuple[str, object]]:
+    """Cases in which the walker reads a rule otherwise: as matching, as the walker."""
+    cases = [("s = 30.0", {"s": "30"}), ("t IS NULL", {"t": [1]}), ("x IN ('')", {"y": 1}), ("x == 1", {"x": 1}), ("x != 5", {"y": 1}), ("a = 1 AND b = 2", {"a": 2})]
+    out = []
+    for rule, row in cases:
+        df, node = io.users_of_records(spark, [row | {"_": 0}]), frontends.parse(rule)
+        out.append((rule, [ex.explain(df, node, ["_"], compat=c).first().passed for c in ("vm", "ast")]))
+    node, df = frontends.parse("x BETWEEN '1' AND '3'"), io.users_of_records(spark, [{"x": 2, "_": 0}])
+    return [*out, ("x BETWEEN '1' AND '3'", [_refused(lambda: compile_rule(Rule(1, node=node))), ex.explain(df, node, ["_"], compat="ast").first().passed])]
+
+
+_facts("walker_readings", _walked, [("s = 30.0", [True, False]), ("t IS NULL", [True, False]), ("x IN ('')", [False, True]), ("x == 1", [True, False]), ("x != 5", [False, True]), ("a = 1 AND b = 2", [False, False]), ("x BETWEEN '1' AND '3'", [True, True])])
+
+
+def _registered(spark: SparkSession, d: str) -> list[tuple[str, object]]:
+    frontends.register("upper", lambda text: frontends.parse(text.lower()))
+    mt.register_backend("reversed", lambda df, rules, keys, variant=None, with_names=False: df.select(*keys, F.reverse(mt.matched_ids(df, rules)).alias("rule_ids")))
+    row = io.users_of_records(spark, [{"a": 1, "_": 0}])
+    pair = RuleSet.load([Rule(1, expr="A = 1", priority=2), Rule(2, expr="A >= 0")], "upper")[0]
+    return [
+        ("front-ends", {"native", "json", "cel", "expr", "qlbridge", "vitess", "upper"} <= set(frontends.names())),
+        ("backends", mt.backends()),
+        ("matched", [mt.match_wide(row, pair, ["_"], m).first().rule_ids for m in ("columns", "bitmaps", "reversed")]),
+        ("refused", [_refused(lambda: frontends.parse("a = 1", "vitess")), _refused(lambda: frontends.parse("a = 1", "none")), _refused(lambda: mt.match_wide(row, pair, ["_"], "none"))]),
+        ("bare words", [frontends.parse("a = 'x = foo' AND b = bar OR c IN (x, 'y')", "qlbridge") == frontends.parse("a = 'x = foo' AND b = 'bar' OR c IN ('x', 'y')"), _refused(lambda: frontends.parse("a IS NULL", "qlbridge")), _refused(lambda: frontends.parse("a = foo"))]),
+        ("fields", fields(frontends.parse("b = 1 AND (a = 2 OR NOT (b = 3)) AND c IS NULL"))),
+    ]
+
+
+_facts("registries", _registered, [("front-ends", True), ("backends", ["bitmaps", "columns", "reversed"]), ("matched", [[1, 2], [1, 2], [2, 1]]), ("refused", [True, True, True]), ("bare words", [True, True, True]), ("fields", ["b", "a", "c"])])
+_facts("connector_options", lambda spark, d: [("source", sorted(io.kafka_source("h:1", "t", False, 5).items())), ("sink", sorted(io.kafka_sink("h:1", "t", {"acks": "all"}).items())), ("rows", [tuple(r) for r in io.kafka_rows(spark.createDataFrame([(7, ["a"])], "uid long, ids array<string>")).collect()]), ("database", io.enabled_rules("rules"))],
+       [("source", [("kafka.bootstrap.servers", "h:1"), ("maxOffsetsPerTrigger", "5"), ("startingOffsets", "earliest"), ("subscribe", "t")]), ("sink", [("kafka.acks", "all"), ("kafka.bootstrap.servers", "h:1"), ("topic", "t")]), ("rows", [("7", '{"uid":7,"ids":["a"]}')]), ("database", "(SELECT id, name, expr, priority, enabled FROM rules WHERE enabled = 1) rules")])
+_facts("export_text", lambda spark, d: [("cel", export_text([Rule(1, "a", "x = 1"), Rule(2, "b", "x =")], "cel", "r.json").splitlines()[:5]), ("unknown", _refused(lambda: export_text([], "lua")))], [("cel", ["# converting 2 rules from r.json to cel", "", "# rule 1 a", "SQL : x = 1", "cel : x == 1"]), ("unknown", True)])
+
+
+def _table_file(spark: SparkSession, d: str) -> list[tuple[str, object]]:
+    path = io.shared_folder(spark, "table")
+    spark.createDataFrame([(json.dumps(_TABLE),)], "value string").coalesce(1).write.text(path)
+    return [(r.name, [r.id, r.expr, r.priority, r.enabled]) for r in load_table(spark, path).rules()]
+
+
+_facts("decision_table_file", _table_file, [("r0", [7000, "c_nationkey BETWEEN 1 AND 8 AND c_acctbal >= -100", 1, True]), ("off", [7001, "c_nationkey = 1", 0, False]), ("r2", [7002, "c_mktsegment IN ('MACHINERY', 'AUTOMOBILE')", 5, True])])
+
+
+def _beats(spark: SparkSession, d: str) -> list[tuple[str, object]]:
+    """Heartbeat messages as beats; usage of a period that has passed reads as 0."""
+    said = lambda unit, n, customer=1: json.dumps({"merchantCode": "m", "intervalUnit": unit, "timestamp": 1_781_251_200_000, "customerID": customer, "interval": n})
+    rows = spark.createDataFrame([(said("MINUTE", 2),), (said("s", 5),), (said("year", 1),), (said("s", 1, None),), ("x",)], "value string")
+    beats = usage.beats_of_json(rows).agg(F.count("*").alias("n"), F.sum("interval_sec").alias("s")).first()
+    day = datetime.datetime(2026, 6, 12, 23, tzinfo=datetime.timezone.utc)
+    state = spark.createDataFrame([(1, "m", "2026-06-12", "2026-W24", "2026-06", 30, 40, 50, 1, None, None, None, day)], usage.OUTPUT)
+    read = [tuple(usage.at_reading(state, F.lit(t).cast("timestamp")).select("daily_usage_sec", "weekly_usage_sec", "monthly_usage_sec").first()) for t in ("2026-06-12 12:00:00", "2026-06-14 00:00:00", "2026-07-01 00:00:00")]
+    return [("beats", [beats.n, beats.s]), ("read", read)]
+
+
+_facts("heartbeats", _beats, [("beats", [2, 125]), ("read", [(30, 40, 50), (0, 40, 50), (0, 0, 0)])])
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship query: customers with the rules that hold for them, in order of priority."""
     return mt.match_long(customers(spark, sf_dir), rule_set(), ["c_custkey"])

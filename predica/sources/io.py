@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
@@ -15,6 +17,16 @@ from ..operators.rules import Rule
 from ..plans.ir import RuleError
 
 
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A new path below the cluster's shared folder, spark.checkpoint.dir; a local one only in local mode without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="predica-")
+    return f"{folder.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
 def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
@@ -129,15 +141,28 @@ def write_users(df: DataFrame, path: str) -> None:
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, latest: bool = True, most: int | None = None) -> DataFrame:
     """A stream of (key, value, timestamp) texts; `most` records a micro-batch. Needs Spark's Kafka package."""
-    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "latest" if latest else "earliest")
-    reader = reader.option("maxOffsetsPerTrigger", most) if most else reader
+    reader = spark.readStream.format("kafka").options(**kafka_source(servers, topic, latest, most))
     return reader.load().select(F.col("key").cast("string"), F.col("value").cast("string"), "timestamp")
 
 
+def kafka_source(servers: str, topic: str, latest: bool = True, most: int | None = None) -> dict[str, str]:
+    """Options of a Kafka source."""
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "latest" if latest else "earliest"} | ({"maxOffsetsPerTrigger": str(most)} if most else {})
+
+
+def kafka_sink(servers: str, topic: str, options: dict[str, str] | None = None) -> dict[str, str]:
+    """Options of a Kafka sink; the others are the producer's."""
+    return {"kafka.bootstrap.servers": servers, "topic": topic} | {f"kafka.{k}": v for k, v in (options or {}).items()}
+
+
+def kafka_rows(df: DataFrame) -> DataFrame:
+    """(key, value): the first column as text, and the row as JSON."""
+    return df.select(F.col(df.columns[0]).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+
+
 def write_kafka(df: DataFrame, servers: str, topic: str, options: dict[str, str] | None = None):
     """Rows as JSON to a topic, keyed by the first column; returns the stream's writer, or None after a batch."""
-    rows = df.select(F.col(df.columns[0]).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
-    settings = {"kafka.bootstrap.servers": servers, "topic": topic} | {f"kafka.{k}": v for k, v in (options or {}).items()}
+    rows, settings = kafka_rows(df), kafka_sink(servers, topic, options)
     if df.isStreaming:
         return rows.writeStream.format("kafka").options(**settings)
     rows.write.format("kafka").options(**settings).save()
@@ -146,4 +171,9 @@ def write_kafka(df: DataFrame, servers: str, topic: str, options: dict[str, str]
 
 def read_jdbc_rules(spark: SparkSession, url: str, table: str, properties: dict[str, str] | None = None) -> DataFrame:
     """The enabled rules of a database table."""
-    return spark.read.jdbc(url, f"(SELECT id, name, expr, priority, enabled FROM {table} WHERE enabled = 1) rules", properties=properties or {})
+    return spark.read.jdbc(url, enabled_rules(table), properties=properties or {})
+
+
+def enabled_rules(table: str) -> str:
+    """What is read of a rule table in a database."""
+    return f"(SELECT id, name, expr, priority, enabled FROM {table} WHERE enabled = 1) rules"
