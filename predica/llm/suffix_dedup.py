@@ -5,22 +5,27 @@ the same one. The result is exact and judged on the input.
 
 1. Anchors. Every window of `length` bytes has an anchor, the least of its GRAM-byte strings by a rolling hash; equal
    windows have the same anchor in the same place. Neighbouring windows with one anchor make a segment: the bytes they
-   cover. A scan task packs its segments (anchor, hash of the bytes, first place) by anchor and combines equal ones, so a
-   passage that a third of all rows hold is one entry a task.
-2. Owners of anchors combine equal segments of all tasks. All but the first place of a segment go as a whole. Different
-   segments with one anchor may share windows: their bytes are fetched, once each.
-3. The fetched segments of an owner are the documents of collections in bwt.collection_bwt(): one symbol of each is
-   inserted a round, and transform and common prefixes are updated through sequential files. Windows whose suffixes have a
-   common prefix of a whole window are equal; all but the first place go. The anchor, equal in all of a group and
-   compared byte by byte, is written as a few symbols that number the group.
+   cover. A scan task packs its segments (anchor, place) by anchor and combines those of equal bytes, so a passage that a
+   third of all rows hold is one entry a task.
+2. Owners of anchors tell which ones several entries share; their bytes are fetched, once each. Where more than HOT entries
+   share an anchor, each is cut into RANGES smaller segments by how far their windows reach to the left of the anchor; the
+   windows of a range have further bytes in common, by which entries are dealt out, so one passage with many surroundings
+   is many small groups.
+3. Of fetched segments of equal bytes all but the first place go as a whole. The others are the documents of collections in
+   bwt.collection_bwt(): one symbol of each is inserted a round, and transform and common prefixes are updated through
+   sequential files. Windows whose suffixes have a common prefix of a whole window are equal; all but the first place go.
+   The anchor, equal in all of a group and compared byte by byte, is written as a few symbols that number the group.
 4. The places are brought back to the documents.
 
+Hashes only bring together what may be equal; whatever is removed was compared byte by byte.
+
 Whole-collection construction would take a round for each symbol of the longest document, each over all rows so far;
 segments keep it to less than two windows' rounds over files of a few MB, and make it work on any number of machines.
 
 Scale: shuffles carry compressed columns: anchors once, texts at most twice, and only those of documents that take part
 (told apart by bit tables of at most 2**MAX_TABLE_BITS bits, the only broadcasts). Tasks hold one partition's columns and
-one collection; a collection is COLLECTION bytes, or one group of different segments with the same anchor.
+one collection; a collection is COLLECTION bytes, or one group of different segments with the same anchor (of a hot one,
+with the same further bytes too). Collections' files are in Spark's local folders.
 
 Defined cases: null text is empty; texts shorter than a window lose nothing; repeated or null ids are first numbered in
 order of (id, text), null first, and so are ids that aren't integers; an empty table gives an empty result; other columns
@@ -30,10 +35,12 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +52,8 @@ LENGTH = 100
 GRAM = 32
 #: Bytes that are hashed together, that are packed together, and of a collection.
 CHUNK, PACK, COLLECTION = 1 << 18, 1 << 24, 1 << 20
+#: Entries of an anchor from which on their segments are cut, and into how many.
+HOT, RANGES = 4096, 8
 _P = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
 SCHEMA = "key long, kind int, id long, body binary"
@@ -133,39 +142,65 @@ def _dealt(kind: int, numbers: np.ndarray, *columns: np.ndarray) -> list[tuple[i
     return [(int(numbers[order[a]]), kind, -1, pack_columns(*(c[order[a:b]] for c in columns))) for a, b in zip(cuts, cuts[1:])]
 
 
-def _combined(anchor: np.ndarray, body: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by anchor, bytes' hash and place; whether a row is the first of its segment)."""
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of `size` bytes at a and b are equal."""
+    out = np.ones(len(a), bool)
+    total = np.cumsum(size)
+    low = 0
+    while low < len(a):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + (1 << 20))))
+        own = size[low:high]
+        at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        differ = data[np.repeat(a[low:high], own) + at] != data[np.repeat(b[low:high], own) + at]
+        out[low:high] = ~np.logical_or.reduceat(differ, np.cumsum(own) - own)
+        low = high
+    return out
+
+
+def _combined(data: np.ndarray, anchor: np.ndarray, body: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by anchor, bytes' hash and place; whether a row isn't equal, byte by byte, to the first of its hash)."""
     order = np.lexsort((start, ids, body, anchor))
     a, b = anchor[order], body[order]
     first = np.ones(len(order), bool)
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    rest = np.flatnonzero(~first)
+    fits = size[order[rest]] == size[head[rest]]
+    first[rest[~fits]] = True
+    rest = rest[fits]
+    first[rest[~same_bytes(data, at[order[rest]], at[head[rest]], size[order[rest]])]] = True
     return order, first
 
 
 def _scanner(length: int, gram: int, buckets: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, ...]] = []
+        datas: list[np.ndarray] = []
         chunk: list[tuple[int, int, bytes]] = []  # id, place in its text, bytes
-        sizes = [0, 0]
+        sizes = [0, 0, 0]  # bytes of the chunk, of the pack, and of the pack before the chunk
 
         def hashed() -> None:
             ends = np.cumsum([len(b) for _, _, b in chunk])
-            first, size, place, anchor, body = segments(np.frombuffer(b"".join(b for _, _, b in chunk), np.uint8), ends, length, gram)
+            datas.append(np.frombuffer(b"".join(b for _, _, b in chunk), np.uint8))
+            first, size, place, anchor, body = segments(datas[-1], ends, length, gram)
             document = np.searchsorted(ends, first, side="right")
             shift = np.array([at for _, at, _ in chunk]) - np.concatenate(([0], ends[:-1]))
-            found.append((anchor, body, np.array([i for i, _, _ in chunk], np.int64)[document], first + shift[document], size.astype(np.uint16), place.astype(np.uint8)))
+            found.append((anchor, body, np.array([i for i, _, _ in chunk], np.int64)[document], first + shift[document], size, place.astype(np.uint8), first + sizes[2]))
             chunk.clear()
+            sizes[2] += sizes[0]
             sizes[0] = 0
 
         def packed() -> Iterator[pa.RecordBatch]:
             if not found:
                 return
-            anchor, body, ids, start, size, place = (np.concatenate(c) for c in zip(*found))
+            anchor, body, ids, start, size, place, at = (np.concatenate(c) for c in zip(*found))
+            order, first = _combined(np.concatenate(datas), anchor, body, ids, start, size, at)
             found.clear()
-            sizes[1] = 0
-            order, first = _combined(anchor, body, ids, start)
+            datas.clear()
+            sizes[1] = sizes[2] = 0
             again, own = order[~first], order[first]
-            yield _rows(_dealt(ANCHORS, _numbers_of(anchor[own], buckets), *(c[own] for c in (anchor, body, ids, start, size, place))) + _dealt(SPANS, _numbers_of(ids[again], buckets), ids[again], start[again], start[again] + size[again]))
+            short = size.astype(np.uint16)
+            yield _rows(_dealt(ANCHORS, _numbers_of(anchor[own], buckets), *(c[own] for c in (anchor, ids, start, short, place))) + _dealt(SPANS, _numbers_of(ids[again], buckets), ids[again], start[again], start[again] + size[again]))
 
         for batch in batches:
             for number, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist()):
@@ -197,24 +232,32 @@ def _owner(buckets: int):
             yield _rows([r for r in passed if r[1] != ANCHORS])
         if not parts:
             return
-        anchor, body, ids, start, size, place = (np.concatenate(c) for c in zip(*parts))
+        anchor, ids, start, size, place = (np.concatenate(c) for c in zip(*parts))
         parts.clear()
-        order, first = _combined(anchor, body, ids, start)
-        again = order[~first]
-        yield _rows(_dealt(SPANS, _numbers_of(ids[again], buckets), ids[again], start[again], start[again] + size[again]))
-        kept = order[first]
-        a = anchor[kept]
-        shared = np.zeros(len(a), bool)  # anchors with several different segments
-        same = a[1:] == a[:-1]
-        shared[1:] |= same
-        shared[:-1] |= same
-        kept = kept[shared]
-        yield _rows(_dealt(WANTED, _numbers_of(ids[kept], buckets), ids[kept], start[kept], size[kept], place[kept], anchor[kept]))
+        order = np.argsort(anchor, kind="stable")
+        a = anchor[order]
+        edges = np.append(np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))), len(a))
+        number = np.repeat(np.diff(edges), np.diff(edges))
+        kept, hot = order[number > 1], (number > HOT)[number > 1]
+        yield _rows(_dealt(WANTED, _numbers_of(ids[kept], buckets), ids[kept], start[kept], size[kept], place[kept], anchor[kept], hot))
 
     return own
 
 
-def _fetcher(buckets: int):
+def ranges_of(body: bytes, place: int, anchor: int, length: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
+    """(key, first byte, past the last, anchor's place) of the smaller segments: one for each range of bytes that windows
+    have before the anchor; windows of a range share the least number before it and after it, which make the key."""
+    width = length - gram
+    cuts = [round(k * (width + 1) / RANGES) for k in range(RANGES + 1)]
+    for low, past in zip(cuts, cuts[1:]):
+        high = past - 1
+        begin, end = max(0, place - high), min(len(body), place + gram + width - low)
+        if place - begin >= low and end - place - gram >= width - high and end - begin >= length and past > low:
+            shared = body[place - low : place + gram + width - high]
+            yield xxhash.xxh64_intdigest(shared, anchor & 0xFFFFFFFF ^ low), begin, end, place - begin
+
+
+def _fetcher(length: int, gram: int, buckets: int):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, parts = {}, []
         for batch in batches:
@@ -225,7 +268,7 @@ def _fetcher(buckets: int):
                     parts.append(unpack_columns(body))
         if not parts:
             return
-        ids, start, size, place, anchor = (np.concatenate(c) for c in zip(*parts))
+        ids, start, size, place, anchor, hot = (np.concatenate(c) for c in zip(*parts))
         order = np.argsort(ids, kind="stable")
         press, held, opened, bodies = zstandard.ZstdDecompressor(), None, b"", [b""] * len(ids)
         for i in order.tolist():
@@ -233,6 +276,16 @@ def _fetcher(buckets: int):
                 held = ids[i]
                 opened = press.decompress(texts[int(held)])
             bodies[i] = opened[start[i] : start[i] + size[i]]
+        texts.clear()
+        cold = np.flatnonzero(~hot)
+        yield from sent(anchor[cold], ids[cold], start[cold], size[cold], place[cold], [bodies[i] for i in cold])
+        for at in range(0, int(hot.sum()), 1 << 16):
+            smaller = [(key, int(ids[i]), int(start[i]) + a, b - a, at_, bodies[i][a:b]) for i in np.flatnonzero(hot)[at : at + (1 << 16)].tolist() for key, a, b, at_ in ranges_of(bodies[i], int(place[i]), int(anchor[i]), length, gram)]
+            if smaller:
+                columns = list(zip(*smaller))
+                yield from sent(*(np.array(c, t) for c, t in zip(columns, (np.uint64, np.int64, np.int64, np.uint16, np.uint8))), list(columns[5]))
+
+    def sent(anchor: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
         numbers = _numbers_of(anchor, buckets)
         order = np.argsort(numbers, kind="stable")
         cuts = np.flatnonzero(np.diff(numbers[order], prepend=-1, append=-1))
@@ -283,7 +336,7 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, places: np.ndarray, gr
     for k in range(digits):
         text[short_begin + places + k] = len(present) + 1 + left % base
         left //= base
-    transform, prefixes = collection_bwt(text, short)
+    transform, prefixes = collection_bwt(text, short, os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
     rows = suffix_rows(transform, short)
     whole = length - gram + digits
     windows = sizes - length + 1
@@ -313,8 +366,24 @@ def _comparer(length: int, gram: int, buckets: int):
         datas.clear()
         sizes, places = sizes.astype(np.int64), places.astype(np.int64)
         begin = np.cumsum(sizes) - sizes
+        # Segments of equal bytes: all but the first place go.
+        seen: set[tuple[int, bytes]] = set()
+        copies = np.zeros(len(anchor), bool)
+        for i in np.lexsort((starts, ids)).tolist():
+            key = int(anchor[i]), data[begin[i] : begin[i] + sizes[i]].tobytes()
+            copies[i] = key in seen
+            seen.add(key)
+        seen.clear()
+        yield _rows(_dealt(SPANS, _numbers_of(ids[copies], buckets), ids[copies], starts[copies], starts[copies] + sizes[copies]))
         order = np.argsort(anchor, kind="stable")
-        edges = np.append(np.flatnonzero(np.diff(anchor[order], prepend=anchor[order[0]] - np.uint64(1))), len(order))
+        order = order[~copies[order]]
+        a = anchor[order]
+        alone = np.concatenate(([True], a[1:] != a[:-1])) & np.concatenate((a[1:] != a[:-1], [True]))
+        order = order[~alone]
+        if not len(order):
+            return
+        a = anchor[order]
+        edges = np.append(np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))), len(order))
         total = np.concatenate(([0], np.cumsum(sizes[order])))
         a = 0
         while a < len(order):
@@ -436,7 +505,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = bit_table(owned.where(f"kind = {WANTED}").mapInArrow(_ids_of, "hash long"), "hash")
     wanted = spark.sparkContext.broadcast(table)
     texts = rows.mapInArrow(_sender(buckets, wanted, False, False), SCHEMA)
-    fetched = texts.union(owned.where(f"kind = {WANTED}")).repartition(parts, "key").mapInArrow(_fetcher(buckets), SCHEMA)
+    fetched = texts.union(owned.where(f"kind = {WANTED}")).repartition(parts, "key").mapInArrow(_fetcher(length, gram, buckets), SCHEMA)
     compared = checkpointed(fetched.repartition(parts, "key").mapInArrow(_comparer(length, gram, buckets), SCHEMA))
     spans = owned.where(f"kind = {SPANS}").union(compared)
     touched = spark.sparkContext.broadcast(bit_table(spans.mapInArrow(_ids_of, "hash long"), "hash"))

@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
@@ -68,6 +70,52 @@ def test_repeated_and_null_ids(make):
         suffix_dedup.remove_repeats(make(rows), length=10, gram=32)
 
 
+class Everything:
+    """A broadcast bit table that has every id."""
+
+    value = np.full(1 << 10, -1, np.int64)
+
+
+def in_process(rows, buckets=4):
+    """(n_bytes, n_removed, n_spans, digest) by id, with the operator's maps run one after another."""
+    s = suffix_dedup
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "text": [t for _, t in rows]}, schema=pa.schema([("id", pa.int64()), ("text", pa.string())]))
+    of = lambda batches, kind: [b.filter(pc.equal(b.column("kind"), kind)) for b in batches]
+    owned = list(s._owner(buckets)(iter(s._scanner(100, 32, buckets)(iter([batch])))))
+    texts = list(s._sender(buckets, Everything, False, False)(iter([batch])))
+    fetched = list(s._fetcher(100, 32, buckets)(iter([*texts, *of(owned, s.WANTED)])))
+    compared = list(s._comparer(100, 32, buckets)(iter(fetched)))
+    heads = list(s._sender(buckets, Everything, True, False)(iter([batch])))
+    return {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for b in s._finisher(False)(iter([*heads, *of(owned, s.SPANS), *compared])) for r in b.to_pylist()}
+
+
+def test_colliding_hashes(monkeypatch):
+    """Segments of equal hashes and different bytes stay what they are."""
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("abcd ") for _ in range(300)) + (PASSAGE if i % 3 == 0 else "")) for i in range(12)]
+    assert in_process(rows) == repeats(rows)
+    own = suffix_dedup.segments
+
+    def colliding(*args):
+        first, size, place, anchor, body = own(*args)
+        return first, size, place, anchor % np.uint64(3), body * np.uint64(0)
+
+    monkeypatch.setattr(suffix_dedup, "segments", colliding)
+    monkeypatch.setattr(suffix_dedup, "PACK", 700)
+    assert in_process(rows) == repeats(rows)
+
+
+@pytest.mark.parametrize("passage", [PASSAGE[:40], PASSAGE[:70], PASSAGE[:97], PASSAGE, PASSAGE * 2])
+def test_hot_anchor(passage, monkeypatch):
+    """A passage that many rows have, with many surroundings, is cut into smaller segments; some surroundings repeat too."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    rng = random.Random(len(passage))
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    sides = [noise(60) for _ in range(6)]
+    rows = [(i, rng.choice([*sides, noise(50)]) + passage + rng.choice([*sides, noise(70), ""])) for i in range(50)]
+    assert in_process(rows) == repeats(rows)
+
+
 def test_kept_bytes_and_spans(make):
     rows = [(1, PASSAGE + "tail"), (2, "head " + PASSAGE)]
     out = {r.doc_id: r for r in suffix_dedup.remove_repeats(make(rows), with_kept=True).collect()}
