@@ -1,26 +1,31 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Every word enters by two channels. The word channel looks the whole word up in a table of label evidence; the character
-channel looks up each of its character n-grams (3 to 8 bytes, with marks at the word's ends) and takes the largest, the
-mean and the least evidence. Evidence is the signed root of the log-likelihood ratio of a feature's presence in toxic
-against other training documents, in hashed tables of fixed size. Two GRUs read a window of words in either direction,
-attention pools their states together with the words' inputs, and a logistic output scores the window. All windows of a
-text are scored, each overlapping the next; the text's score is that of its highest window, calibrated for the number of
-windows.
+Every word enters by two learned channels and by evidence. The word channel is an embedding of the whole word (one of its
+own for words of MIN_DOCS training documents or more, at most MAX_WORDS; a shared one for the others); the character channel
+is the mean of the embeddings of its character n-grams (3 to 6 bytes, with marks at the word's ends), in a hashed table.
+Evidence is what the labels say of the word and of its n-grams (the largest, mean and least): the signed log of the root of
+the log-likelihood ratio of a feature's presence in toxic against other documents, in hashed tables; it makes up for
+embeddings where there is little to learn them from. Two GRUs read a window of words in either direction, attention pools
+their states, and a logistic output scores the window: nothing but the states reaches it. All windows of a text are scored,
+each overlapping the next; the text's score is that of its highest window, calibrated for the number of windows.
 
 Training sees labelled rows whose crc32(id as text) mod 4 isn't 2, at most MAX_TOXIC and MAX_CLEAN documents of each
-class, those least by a hash of the id. Evidence for a training document comes from the other folds, so the network never
-sees a document's own label in its input. Only documents are labelled: each round takes the window of a toxic document
-that scores highest as its example, and of a clean one that window and another.
+class, those least by a hash of the id, one text for each id, and of these the texts of at most MAX_CHARS characters; the
+bounds hold before texts are collected. Evidence for a training document comes from the other folds, so the network never
+sees a document's own label in it. Only documents are labelled: a toxic document's examples are the window of most evidence
+at first, later the one that scores highest; a clean one's are that window and another. Words are at times hidden in
+training, so that their characters are learned too; a window's embeddings or its evidence are, so that either does alone.
 
 Scale: labels are cut to the bounded sample before they meet the texts; scoring is one map. The model is a few MB at any
 size. Defined cases: null text is empty; a text without words is one window of padding and so gets a score; null labels
-and null ids aren't trained on; a document with several labels is toxic if one says so; without any toxic or clean
-training document every score is the share of toxic ones (0 without any); an empty table gives an empty result.
+and null ids aren't trained on; a document with several labels is toxic if one says so, one with several texts is trained
+on by the least; without any toxic or clean training document every score is the share of toxic ones (0 without any); an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +33,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 20_000
 WINDOW, STRIDE = 48, 32
 HIDDEN = 8
-GRAMS = range(3, 9)
-FOLDS = 4
-TABLE_BITS = 20
+EPOCHS = 10
+GRAMS = range(3, 7)
+#: Width of the embeddings of words and of n-grams; number of the latter.
+WORD_DIM, GRAM_DIM, GRAM_BITS = 8, 8, 15
+LEARNED, EVIDENCE = WORD_DIM + GRAM_DIM, 4
+INPUTS = LEARNED + EVIDENCE
+MIN_DOCS, MAX_WORDS = 3, 1 << 16
+#: Evidence tables have 2**TABLE_BITS entries; training documents are in FOLDS parts.
+TABLE_BITS, FOLDS = 18, 4
+#: Shares of the known words, of the windows' embeddings and of their evidence that training hides.
+HIDDEN_WORDS, HIDDEN_WINDOWS, HIDDEN_EVIDENCE = 0.4, 0.65, 0.2
+#: Batches that an epoch has at least.
+LEAST_BATCHES = 16
 THRESHOLD = 0.3
-#: So many words' inputs are remembered between batches.
-CACHE_WORDS = 200_000
-INPUTS = 5
+#: So many words' inputs are remembered between batches, and so many windows of a text are scored together.
+CACHE_WORDS, BLOCK_WINDOWS = 200_000, 1 << 12
 _SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -55,17 +69,18 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 class _Grams:
-    """Hashed features of words: each word's own bucket, and buckets of its n-grams by position."""
+    """Character n-grams of words, as buckets of the evidence tables; the first GRAM_BITS bits are those of embeddings."""
 
     def __init__(self, words: list[bytes]):
         self.lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
         self.bytes = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint32)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
-        self.room = np.repeat(self.ends, self.lengths) - np.arange(len(self.bytes))  # bytes from here to the word's end
         powers = np.cumprod(np.full(64, 16777619, np.uint32), dtype=np.uint32)
         at = np.arange(len(self.bytes)) - np.repeat(self.starts, self.lengths)
+        #: Each word's own bucket.
         self.words = _bucket(np.add.reduceat((self.bytes + np.uint32(1)) * powers[at % 64] ^ (at // 64).astype(np.uint32), self.starts, dtype=np.uint32) if words else np.zeros(0, np.uint32))
+        self.room = np.repeat(self.ends, self.lengths) - np.arange(len(self.bytes))  # bytes from here to the word's end
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(position, bucket) of the n-grams of each length."""
@@ -78,6 +93,14 @@ class _Grams:
                 at = np.flatnonzero(self.room[: len(h)] >= n)
                 yield at, _bucket(h[at] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF))
 
+    def by_word(self) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets of all words' n-grams, word after word; number of each word's)."""
+        found = list(self)
+        at = np.concatenate([a for a, _ in found])
+        order = np.argsort(at, kind="stable")
+        number = np.add.reduceat(np.bincount(at, minlength=len(self.bytes)), self.starts)
+        return np.concatenate([b for _, b in found])[order].astype(np.int32), number
+
 
 def _parts(words: list[bytes], size: int = 40_000) -> Iterator[tuple[int, _Grams]]:
     for at in range(0, len(words), size):
@@ -93,21 +116,32 @@ def _evidence(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     return (np.sign(toxic - both * share) * np.log1p(np.sqrt(np.maximum(0, 2 * g)))).astype(np.float32)
 
 
-def _inputs(grams: _Grams, word_table: np.ndarray, gram_table: np.ndarray) -> np.ndarray:
-    """(words, INPUTS) network inputs."""
-    n = len(grams.lengths)
-    if not n:
-        return np.zeros((0, INPUTS), np.float32)
-    high, low = np.full(len(grams.bytes), -9, np.float32), np.full(len(grams.bytes), 9, np.float32)
-    total, count = np.zeros(len(grams.bytes), np.float32), np.zeros(len(grams.bytes), np.float32)
-    for at, bucket in grams:
-        value = gram_table[bucket]
-        high[at], low[at] = np.maximum(high[at], value), np.minimum(low[at], value)
-        total[at] += value
-        count[at] += 1
-    reduce = lambda f, x: f.reduceat(x, grams.starts)
-    mean = reduce(np.add, total) / np.maximum(1, reduce(np.add, count))
-    return np.stack([word_table[grams.words], np.clip(reduce(np.maximum, high), -9, 9), mean, np.clip(reduce(np.minimum, low), -9, 9), np.ones(n, np.float32)], axis=1).astype(np.float32)
+def _said(tables: tuple[np.ndarray, np.ndarray], words: np.ndarray, buckets: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """(words, EVIDENCE): of the word, and the largest, mean and least of its n-grams."""
+    value, begins = tables[1][buckets], np.cumsum(number) - number
+    return np.stack([tables[0][words], np.maximum.reduceat(value, begins), np.add.reduceat(value, begins) / number, np.minimum.reduceat(value, begins)], axis=1).astype(np.float32)
+
+
+class Inputs:
+    """The embeddings of words and n-grams, and the evidence tables."""
+
+    def __init__(self, known: list[bytes], tables: tuple[np.ndarray, np.ndarray], seed: int):
+        rng = np.random.default_rng(seed)
+        self.known, self.tables = {w: i + 1 for i, w in enumerate(known)}, tables
+        self.words = rng.normal(0, 0.2, (len(known) + 1, WORD_DIM)).astype(np.float32)
+        self.grams = rng.normal(0, 0.2, (1 << GRAM_BITS, GRAM_DIM)).astype(np.float32)
+
+    def means(self, buckets: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Mean embedding of the n-grams of each word."""
+        return np.add.reduceat(self.grams[buckets >> TABLE_BITS - GRAM_BITS], np.cumsum(number) - number, axis=0) / number[:, None].astype(np.float32)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """(words, INPUTS) network inputs."""
+        out = []
+        for at, g in _parts(words):
+            grams = g.by_word()
+            out.append(np.concatenate((self.words[[self.known.get(w, 0) for w in words[at : at + len(g.lengths)]]], self.means(*grams), _said(self.tables, g.words, *grams)), axis=1))
+        return np.concatenate(out) if out else np.zeros((0, INPUTS), np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -121,13 +155,15 @@ class Network:
         rng = np.random.default_rng(seed)
         draw = lambda *s: rng.normal(0, 0.35, s).astype(np.float32)
         h = self.hidden = hidden
-        self.p = {"att": draw(2 * h + inputs), "out": draw(2 * h + inputs), "bias": np.zeros(1, np.float32)}
-        # At first, attention and output follow the evidence of the word and of its strongest n-gram.
-        for k in ("att", "out"):
-            self.p[k][2 * h :] = 0
-            self.p[k][2 * h : 2 * h + 2] = 0.5
+        self.p = {"att": draw(2 * h), "out": draw(2 * h), "bias": np.zeros(1, np.float32)}
         for d in "fb":
             self.p |= {f"w{d}": draw(inputs, 3 * h), f"u{d}": draw(h, 3 * h), f"c{d}": np.zeros(3 * h, np.float32)}
+        # At first, one state in either direction follows the evidence of the word and of its strongest n-gram.
+        for unit, d in ((0, "f"), (h, "b")):
+            self.p[f"w{d}"][:, 2 * h] = self.p[f"u{d}"][:, 2 * h] = 0
+            self.p[f"w{d}"][inputs - EVIDENCE : inputs - EVIDENCE + 2, 2 * h] = 0.4
+            self.p[f"c{d}"][0] = -2
+            self.p["att"][unit] = self.p["out"][unit] = 2
 
     def _run(self, d: str, x: np.ndarray, mask: np.ndarray | None, keep: bool):
         """States in order of time; gates are kept for training."""
@@ -153,7 +189,7 @@ class Network:
     def _pool(self, x: np.ndarray, mask: np.ndarray | None, keep: bool = False):
         forward, a = self._run("f", x, mask, keep)
         backward, b = self._run("b", x, mask, keep)
-        states = np.concatenate((forward, backward, x.astype(forward.dtype, copy=False)), axis=2)
+        states = np.concatenate((forward, backward), axis=2)
         scores = states @ self.p["att"]
         if mask is not None:
             scores = np.where(mask > 0, scores, -1e9)
@@ -166,7 +202,8 @@ class Network:
         pooled = self._pool(x, mask)[2]
         return pooled @ self.p["out"] + self.p["bias"]
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """(of the parameters, of the inputs)."""
         p, h = self.p, self.hidden
         states, weights, pooled, saved = self._pool(x, mask, True)
         error = ((_sigmoid(pooled @ p["out"] + p["bias"]) - y) * weight / weight.sum()).astype(np.float32)
@@ -176,6 +213,7 @@ class Network:
         d_scores = weights * (d_weights - (weights * d_weights).sum(axis=0))
         g["att"] = np.einsum("tn,tnh->h", d_scores, states)
         d_states = weights[:, :, None] * d_pooled + d_scores[:, :, None] * p["att"]
+        d_x = np.zeros_like(x)
         for d, own, part in (("f", saved[0], d_states[:, :, :h]), ("b", saved[1], d_states[:, :, h : 2 * h])):
             u, d_now = p[f"u{d}"], np.zeros_like(states[0, :, :h])
             d_proj = np.zeros((*x.shape[:2], 3 * h), np.float32)
@@ -195,7 +233,8 @@ class Network:
                 d_now = d_after * (1 - live) + d_masked * z + gates @ u[:, : 2 * h].T + d_back @ u[:, 2 * h :].T
             flat = d_proj.reshape(-1, 3 * h)
             g[f"w{d}"], g[f"c{d}"] = x.reshape(len(flat), -1).T @ flat, flat.sum(axis=0)
-        return g
+            d_x += (flat @ p[f"w{d}"].T).reshape(x.shape)
+        return g, d_x
 
 
 class _Adam:
@@ -213,6 +252,21 @@ class _Adam:
             self.p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
 
 
+class _Adagrad:
+    """Steps of the rows of a table that a batch reads."""
+
+    def __init__(self, table: np.ndarray, rate: float):
+        self.table, self.rate, self.seen = table, rate, np.full(table.shape, 1e-6, np.float32)
+
+    def step(self, rows: np.ndarray, gradient: np.ndarray, scale: float) -> None:
+        """rows may repeat."""
+        size = len(self.table)
+        touched = np.flatnonzero(np.bincount(rows, minlength=size))
+        total = np.stack([np.bincount(rows, c, size)[touched] for c in gradient.T], axis=1).astype(np.float32)
+        self.seen[touched] += total * total
+        self.table[touched] -= self.rate * scale * total / np.sqrt(self.seen[touched])
+
+
 def window_starts(n: int) -> list[int]:
     """First words of the overlapping windows that cover n words; the last ends with the text."""
     if n <= WINDOW:
@@ -220,80 +274,95 @@ def window_starts(n: int) -> list[int]:
     return [*range(0, n - WINDOW, STRIDE), n - WINDOW]
 
 
-def _windows(inputs: np.ndarray, firsts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-    """(x, mask) of windows that begin at `firsts` in the rows of inputs."""
+def _windows(firsts: np.ndarray, lengths: np.ndarray, padding: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """(rows, mask) of windows that begin at `firsts`; where a window has ended, the row is `padding`."""
     width = int(max(1, lengths.max()))
     at = firsts[None, :] + np.arange(width)[:, None]
-    if (lengths == width).all() and len(inputs):
-        return inputs[at], None
+    if (lengths == width).all():
+        return at, None
     mask = (np.arange(width)[:, None] < lengths[None, :]).astype(np.float32)
-    x = np.concatenate((inputs, np.zeros((1, INPUTS), np.float32)))[np.where(mask > 0, at, len(inputs))]
+    at = np.where(mask > 0, at, padding)
     mask[0] = 1  # a text without words is one word of nothing
-    return x, mask
+    return at, mask
+
+
+def _cuts(lengths: np.ndarray, order: np.ndarray) -> Iterator[np.ndarray]:
+    """Windows in parts: whole windows, then the others; order is by length."""
+    full = int((lengths == WINDOW).sum())
+    cuts = [*range(0, full, 2048), *range(full, len(order), 2048), len(order)]
+    return (order[a:b] for a, b in zip(cuts, cuts[1:]) if b > a)
 
 
 class Model:
     """A trained scorer; a few MB."""
 
-    def __init__(self, word_table: np.ndarray, gram_table: np.ndarray, network: Network | None, calibration: np.ndarray, share: float):
-        self.word_table, self.gram_table, self.network, self.calibration, self.share = word_table, gram_table, network, calibration, share
+    def __init__(self, inputs: Inputs | None, network: Network | None, calibration: np.ndarray, share: float):
+        self.inputs, self.network, self.calibration, self.share = inputs, network, calibration, share
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the cache. Words are numbered from 1; row 0 is padding."""
         self.cache: dict[bytes, int] = {}
-        self.rows = np.zeros((0, INPUTS), np.float32)
+        self.rows, self.ready = np.zeros((1, INPUTS), np.float32), 0
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}, "rows": np.zeros((0, INPUTS), np.float32)}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "rows", "ready")}
 
-    def _look_up(self, words: list[bytes]) -> np.ndarray:
-        """Rows of self.rows; words that aren't there are added."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.rows = {}, self.rows[:0]
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
         cache = self.cache
-        before = len(cache)
-        ids = np.fromiter((cache.setdefault(w, len(cache)) for w in words), np.int64, len(words))
-        if len(cache) > before:
-            new = list(cache)[before:] if before < 1000 else [w for w, _ in zip(reversed(cache), range(len(cache) - before))][::-1]
-            self.rows = np.concatenate((self.rows, _inputs(_Grams(new), self.word_table, self.gram_table)))
-        return ids
+        return np.fromiter((cache.setdefault(w, len(cache) + 1) for w in words), np.int32, len(words))
+
+    def _read(self) -> None:
+        """Makes the rows of new words."""
+        n = len(self.cache)
+        if n > self.ready:
+            new = list(itertools.islice(reversed(self.cache), n - self.ready))[::-1]
+            if n >= len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros((n + 1, INPUTS), np.float32)))
+            self.rows[self.ready + 1 : n + 1] = self.inputs(new)
+            self.ready = n
 
     def logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(highest window's logit, number of windows) of each text."""
         highest, numbers = np.full(len(texts), -np.inf, np.float32), np.zeros(len(texts), np.int64)
-        block: list[tuple[int, np.ndarray]] = []
+        block: list[tuple[int, np.ndarray, np.ndarray]] = []
 
         def flush() -> None:
             if block:
-                self._score(block, highest, numbers)
+                self._read()
+                self._score(block, highest)
                 block.clear()
+            if len(self.cache) > CACHE_WORDS:
+                self._forget()
 
         held = 0
         for i, text in enumerate(texts):
             words = words_of(text)
-            for a in range(0, max(1, len(words)), STRIDE << 12):  # a very long text goes in overlapping blocks
-                part = words[a : a + (STRIDE << 12) + WINDOW]
-                block.append((i, self._look_up(part).astype(np.int32)))
+            starts = np.array(window_starts(len(words)))
+            numbers[i] = len(starts)
+            for a in range(0, len(starts), BLOCK_WINDOWS):  # a very long text goes in blocks of its windows
+                own = starts[a : a + BLOCK_WINDOWS]
+                part = words[own[0] : own[-1] + WINDOW]
+                block.append((i, self._numbers(part), own - own[0]))
                 held += len(part)
-                if held > STRIDE << 12 or len(self.cache) > CACHE_WORDS:
+                if held > STRIDE * BLOCK_WINDOWS or len(self.cache) > CACHE_WORDS:
                     flush()
                     held = 0
         flush()
         return highest, numbers
 
-    def _score(self, block: list[tuple[int, np.ndarray]], highest: np.ndarray, numbers: np.ndarray) -> None:
-        inputs = self.rows[np.concatenate([ids for _, ids in block])]
-        sizes = np.array([len(ids) for _, ids in block])
-        begins = np.cumsum(sizes) - sizes
-        starts = [np.array(window_starts(n)) for n in sizes]
-        count = np.array([len(s) for s in starts])
-        firsts = np.concatenate([b + s for b, s in zip(begins, starts)])
-        lengths, owners = np.repeat(np.minimum(sizes, WINDOW), count), np.repeat([i for i, _ in block], count)
-        order = np.argsort(-lengths, kind="stable")
-        full = int((lengths == WINDOW).sum())
-        cuts = [*range(0, full, 2048), *range(full, len(order), 2048), len(order)]
-        for a, b in zip(cuts, cuts[1:]):
-            own = order[a:b]
-            if len(own):
-                np.maximum.at(highest, owners[own], self.network.logits(*_windows(inputs, firsts[own], lengths[own])))
-        np.add.at(numbers, owners, 1)
+    def _score(self, block: list[tuple[int, np.ndarray, np.ndarray]], highest: np.ndarray) -> None:
+        rows = np.concatenate([*(ids for _, ids, _ in block), [0]])
+        sizes, count = (np.array([len(b[k]) for b in block]) for k in (1, 2))
+        firsts = np.repeat(np.cumsum(sizes) - sizes, count) + np.concatenate([own for _, _, own in block])
+        lengths, owners = np.repeat(np.minimum(sizes, WINDOW), count), np.repeat([i for i, _, _ in block], count)
+        for own in _cuts(lengths, np.argsort(-lengths, kind="stable")):
+            at, mask = _windows(firsts[own], lengths[own], len(rows) - 1)
+            np.maximum.at(highest, owners[own], self.network.logits(self.rows[rows[at]], mask))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.network is None:
@@ -318,93 +387,115 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return beta
 
 
-def train(texts: list[str | None], labels: list[int], share: float | None = None, epochs: int = 20, seed: int = 7) -> Model:
+def _vocabulary(texts: list[str | None]) -> tuple[list[bytes], list[np.ndarray]]:
+    """(distinct words, each text as numbers of them)."""
+    vocabulary: dict[bytes, int] = {}
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
+    return list(vocabulary), docs
+
+
+def _tallies(docs: list[np.ndarray], y: np.ndarray, fold: np.ndarray, own_bucket: np.ndarray, buckets: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that words and n-grams are in: (FOLDS, class, bucket) each."""
+    size, owner = 1 << TABLE_BITS, np.repeat(np.arange(len(number)), number)
+    out = np.zeros((FOLDS, 2, size), np.float32), np.zeros((FOLDS, 2, size), np.float32)
+    for k in range(FOLDS):
+        for c in range(2):
+            seen = np.zeros(len(number), np.int64)
+            for i in np.flatnonzero((fold == k) & (y == c)):
+                seen[np.unique(docs[i])] += 1
+            out[0][k, c] = np.bincount(own_bucket, seen, size)
+            some = np.flatnonzero(seen[owner])
+            out[1][k, c] = np.bincount(buckets[some], seen[owner[some]], size)
+    return out
+
+
+def train(texts: list[str | None], labels: list[int], share: float | None = None, epochs: int = EPOCHS, seed: int = 7) -> Model:
     """share: of toxic ones among all documents, where the sample's is another."""
     y = np.array(labels, np.float32)
     share = float(y.mean()) if share is None and len(y) else share or 0.0
-    size = 1 << TABLE_BITS
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), None, np.zeros(3), share)
-    vocabulary: dict[bytes, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
-    words = list(vocabulary)
-    del vocabulary
-    fold = np.random.default_rng(seed).permutation(len(docs)) % FOLDS
-    counts = np.zeros((FOLDS, 2, len(words)), np.int32)
-    for ids, k, label in zip(docs, fold, y):
-        counts[k, int(label), np.unique(ids)] += 1
-    # By fold and class, in parts of the vocabulary, so that no part's n-grams take much memory.
-    tallies = np.zeros((2, FOLDS, 2, size), np.float32)
-    for at, grams in _parts(words):
-        own = counts[:, :, at : at + len(grams.lengths)]
-        owner = np.repeat(np.arange(len(grams.lengths), dtype=np.int32), grams.lengths)
-        for k in range(FOLDS):
-            for c in range(2):
-                tallies[0, k, c] += np.bincount(grams.words, own[k, c], size)
-        for where, bucket in grams:
-            for k in range(FOLDS):
-                for c in range(2):
-                    seen = own[k, c][owner[where]]
-                    some = np.flatnonzero(seen)
-                    tallies[1, k, c] += np.bincount(bucket[some], seen[some], size)
-
-    def tables(without: int | None) -> tuple[np.ndarray, np.ndarray]:
-        kept = [k for k in range(FOLDS) if k != without]
-        return tuple(_evidence(*(t[kept, c].sum(axis=0, dtype=np.float64) for c in (1, 0))) for t in tallies)
-
-    folds, tabled = [tables(k) for k in range(FOLDS)], tables(None)
-    del tallies, counts
-    inputs = np.zeros((FOLDS, len(words), INPUTS), np.float32)
-    for at, grams in _parts(words):
-        for k in range(FOLDS):
-            inputs[k, at : at + len(grams.lengths)] = _inputs(grams, *folds[k])
-    features = [inputs[k, ids] for ids, k in zip(docs, fold)]
-    del inputs, docs, words, folds
-    sizes = np.array([len(f) for f in features])
-    flat = np.concatenate(features)
-    del features
+        return Model(None, None, np.zeros(3), share)
+    words, docs = _vocabulary(texts)
+    seen = np.zeros(len(words), np.int64)
+    for ids in docs:
+        seen[np.unique(ids)] += 1
+    often = np.flatnonzero(seen >= MIN_DOCS)
+    often = np.sort(often[np.argsort(-seen[often], kind="stable")[:MAX_WORDS]])
+    rng = np.random.default_rng(seed)
+    parts = [(g.words, *g.by_word()) for _, g in _parts(words)]
+    own_bucket, buckets, number = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+    del parts
+    fold = rng.permutation(len(docs)) % FOLDS
+    tallies = _tallies(docs, y, fold, own_bucket, buckets, number)
+    tables = lambda without: tuple(_evidence(*(t[[k for k in range(FOLDS) if k != without], c].sum(axis=0, dtype=np.float64) for c in (1, 0))) for t in tallies)
+    said = np.concatenate([np.stack([_said(tables(k), own_bucket, buckets, number) for k in range(FOLDS)]) if len(words) else np.zeros((FOLDS, 0, EVIDENCE)), np.zeros((FOLDS, 1, EVIDENCE))], axis=1).astype(np.float32)
+    inputs, network = Inputs([words[i] for i in often], tables(None), seed), Network(seed)
+    del tallies
+    model = Model(inputs, network, np.array([0.0, 1.0, 0.0]), share)
+    begin = np.cumsum(number) - number
+    known = np.zeros(len(words) + 1, np.int64)
+    known[often] = np.arange(1, len(often) + 1)
+    sizes = np.array([len(d) for d in docs])
+    flat = np.concatenate([*docs, [len(words)]])  # the last is padding
     starts = [np.array(window_starts(n)) for n in sizes]
-    offset = np.concatenate(([0], np.cumsum(sizes)))
+    offset, count = np.concatenate(([0], np.cumsum(sizes))), np.array([len(s) for s in starts])
     first = np.concatenate([o + s for o, s in zip(offset, starts)])
-    count = np.array([len(s) for s in starts])
-    owner = np.repeat(np.arange(len(starts)), count)
+    owner, begins = np.repeat(np.arange(len(starts)), count), np.cumsum(count) - count
     length = np.minimum(np.repeat(sizes, count), WINDOW)
-    network, rng = Network(seed), np.random.default_rng(seed)
-    model = Model(*tabled, network, np.array([0.0, 1.0, 0.0]), share)
-    adam = _Adam(network.p, 0.02)
-    score = flat[:, :2].sum(axis=1)  # the first choice of windows: where the evidence is
-    total = np.concatenate(([0], np.cumsum(score)))
-    logits = total[first + length] - total[first]
-
-    def score_all() -> np.ndarray:
+    steps = _Adam(network.p, 0.02), _Adagrad(inputs.words, 0.1), _Adagrad(inputs.grams, 0.1)
+
+    def logits_of_all() -> np.ndarray:
+        table = np.concatenate((inputs.words[known[:-1]], inputs.means(buckets, number)), axis=1) if len(words) else np.zeros((0, LEARNED), np.float32)
+        table = np.concatenate((table, np.zeros((1, LEARNED), np.float32)))
         out = np.zeros(len(first), np.float32)
-        order = np.argsort(-length, kind="stable")
-        full = int((length == WINDOW).sum())
-        cuts = [*range(0, full, 2048), *range(full, len(order), 2048), len(order)]
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                own = order[a:b]
-                out[own] = network.logits(*_windows(flat, first[own], length[own]))
+        for own in _cuts(length, np.argsort(-length, kind="stable")):
+            at, mask = _windows(first[own], length[own], len(flat) - 1)
+            ids = flat[at]
+            out[own] = network.logits(np.concatenate((table[ids], said[fold[owner[own]], ids]), axis=2), mask)
         return out
 
+    def learn(own: np.ndarray, target: np.ndarray, weight: np.ndarray, scale: float) -> None:
+        at, mask = _windows(first[own], length[own], len(flat) - 1)
+        ids = flat[at]
+        distinct, place = np.unique(ids, return_inverse=True)
+        there = distinct[distinct < len(words)]
+        table = np.zeros((len(distinct), LEARNED), np.float32)
+        rows = np.where(rng.random(len(there)) < HIDDEN_WORDS, 0, known[there])
+        table[: len(there), :WORD_DIM] = inputs.words[rows]
+        many = number[there]
+        grams = buckets[np.repeat(begin[there] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        if len(there):
+            table[: len(there), WORD_DIM:] = inputs.means(grams, many)
+        draw = rng.random(len(own))
+        shown, told = ((draw >= HIDDEN_WINDOWS).astype(np.float32)[None, :, None], (draw < 1 - HIDDEN_EVIDENCE).astype(np.float32)[None, :, None])
+        x = np.concatenate((table[place.reshape(at.shape)] * shown, said[fold[owner[own]], ids] * told), axis=2)
+        g, d_x = network.gradients(x, np.ones(at.shape, np.float32) if mask is None else mask, target, weight)
+        flat_x, at_x = (d_x[:, :, :LEARNED] * shown).reshape(-1, LEARNED), place.ravel()
+        d = np.stack([np.bincount(at_x, c, len(distinct))[: len(there)] for c in flat_x.T], axis=1)
+        steps[0].step(g)
+        if len(there):
+            steps[1].step(rows, d[:, :WORD_DIM], scale)
+            steps[2].step(grams >> TABLE_BITS - GRAM_BITS, np.repeat(d[:, WORD_DIM:] / many[:, None], many, axis=0), scale)
+
+    toxic, clean = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
+    # The first choice of windows: where the evidence is.
+    rising = np.concatenate(([0], np.cumsum(said[np.repeat(fold, sizes), flat[:-1], :2].sum(axis=1, dtype=np.float64))))
+    logits = rising[first + length] - rising[first]
     for epoch in range(epochs):
-        if epoch and epoch % 3 == 0:
-            logits = score_all()
-        ranked = np.lexsort((-logits, owner))
-        top = ranked[np.concatenate(([0], np.cumsum(count)[:-1]))]
-        other = first.searchsorted(offset[:-1]) + (rng.random(len(count)) * count).astype(np.int64)
-        clean = np.flatnonzero(y == 0)
-        chosen = np.concatenate((top, np.minimum(other[clean], len(first) - 1)))
-        target = np.concatenate((y, np.zeros(len(clean), np.float32)))
-        weight = np.where(target > 0, len(target) / (2 * y.sum()), 1).astype(np.float32)
-        adam.rate = 0.02 * (1 - 0.9 * epoch / epochs)
-        for own in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // 128)):
-            x, mask = _windows(flat, first[chosen[own]], length[chosen[own]])
-            mask = np.ones(x.shape[:2], np.float32) if mask is None else mask
-            adam.step(network.gradients(x, mask, target[own], weight[own]))
-    logits = score_all()
+        if epoch and epoch % 4 == 0:
+            logits = logits_of_all()
+        top = np.lexsort((-logits, owner))[begins]
+        other = begins[clean] + (rng.random(len(clean)) * count[clean]).astype(np.int64)
+        chosen = np.concatenate((top[toxic], top[clean], other))
+        target = np.repeat([1.0, 0.0], [len(toxic), 2 * len(clean)]).astype(np.float32)
+        weight = np.where(target > 0, len(target) / (2 * target.sum()), 1).astype(np.float32)
+        scale = 1 - 0.9 * epoch / epochs
+        steps[0].rate = 0.02 * scale
+        for own in np.array_split(rng.permutation(len(chosen)), max(LEAST_BATCHES, len(chosen) // 128)):
+            if len(own):
+                learn(chosen[own], target[own], weight[own], scale)
     highest = np.full(len(y), -np.inf, np.float32)
-    np.maximum.at(highest, owner, logits)
+    np.maximum.at(highest, owner, logits_of_all())
     x = np.stack([np.ones(len(y)), highest, np.log(count)], axis=1).astype(float)
     model.calibration = _logistic(x, y)
     sampled = float(y.mean())
@@ -421,14 +512,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     order = F.xxhash64("id")
     part = lambda label, n: own.where(F.col("label") == label).orderBy(order, "id").limit(n)
     sample = part(1, MAX_TOXIC).union(part(0, MAX_CLEAN))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").toArrow()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.coalesce(F.char_length("text"), F.lit(0)) <= MAX_CHARS)
+    found = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text")).toArrow()
     rows = sorted(zip(found.column("id").to_pylist(), found.column("text").to_pylist(), found.column("label").to_pylist()), key=lambda r: (r[0], r[1] or ""))
     total = sum(counts.values())
     return [r[1] for r in rows], [r[2] for r in rows], counts.get(1, 0) / total if total else None
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: the id) of each row with its score."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns `keep` (default: the id) of each row with its score, under `name`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or [id_col]
     at = keep.index(text_col) if text_col in keep else len(keep)
@@ -442,7 +534,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = [f"c{i}" for i in range(len(keep))] + ["score"]
     chosen = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), *([F.col(text_col).alias("words")] * (at == len(keep))))
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names)) + ", score double"
-    return chosen.mapInArrow(run, schema).toDF(*keep, "score")
+    return chosen.mapInArrow(run, schema).toDF(*keep, name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
