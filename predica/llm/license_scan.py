@@ -2,20 +2,23 @@
 
 Paragraphs (lines; windows of WINDOW words overlapping by half where a line is longer) are classified into licence
 families or `unknown` by a multinomial logistic regression over word n-grams (one to three words) of the templates,
-sparse: any other n-gram only adds to the paragraph's length. It is trained here, in numpy, on altered copies of the
-templates (words lost, put in or replaced, ends cut off, put into prose) and, for `unknown`, on paragraphs of at most
-UNKNOWN_DOCS documents, those least by a hash of the id (UNKNOWN_PARAGRAPHS of them at most; FILLER_WORDS of their words
-are put into copies), and on shuffled template words. These bounds are of the training; scanning is whole. A held-out part calibrates the
+sparse: any other n-gram only adds to the paragraph's length. Every paragraph is classified. It is trained here, in numpy,
+on altered copies of the templates (words lost, put in or replaced, ends cut off, put into prose) and, for `unknown`, on
+paragraphs of at most UNKNOWN_DOCS documents, those least by a hash of the id, one text of at most MAX_CHARS characters for
+each (UNKNOWN_PARAGRAPHS of them at most; FILLER_WORDS of their words are put into copies), and on shuffled template words.
+These bounds are of the training, and hold before texts are collected; scanning is whole. A held-out part calibrates the
 temperature and the prior of `unknown`. A predicted family is confirmed if one of its templates and the paragraph share
-80% of the five-word shingles of either.
+80% of the shingles (five words, or all of a shorter template) of either, and MIN_SHARED at least where the template has
+so many: a few words of a notice confirm nothing.
 
 A template may lie across the windows of a long line. Stretches of a long line that have 80% of a template's shingles are
 therefore classified by themselves too, wherever they begin, and confirmed together with the words around them; their
 findings may overlap with those of windows.
 
 Scale: the sample is cut before it meets the texts; scanning is one map, the model a few hundred KB at any size. Defined
-cases: null text is empty; a text without paragraphs has no finding; repeated rows get equal findings; an empty table
-trains on templates and shuffled words alone and gives an empty result; other columns are ignored.
+cases: null text is empty; a text without paragraphs has no finding; null ids are scanned but not trained on; repeated rows
+get equal findings, and an id with several texts is trained on by the least; an empty table trains on templates and
+shuffled words alone and gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the training: documents and paragraphs for `unknown`, words to alter copies with.
-UNKNOWN_DOCS, UNKNOWN_PARAGRAPHS, FILLER_WORDS = 300, 4000, 5000
+UNKNOWN_DOCS, MAX_CHARS, UNKNOWN_PARAGRAPHS, FILLER_WORDS = 300, 20_000, 4000, 5000
 WINDOW = 48
-SHINGLE, SIMILARITY = 5, 0.8
+SHINGLE, SIMILARITY, MIN_SHARED = 5, 0.8, 8
 MIN_PROBABILITY = 0.5
 UNKNOWN = "unknown"
 
-#: Short passages by which licences are stated.
+#: Passages by which licences are stated, and paragraphs of their texts.
 TEMPLATES = [
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
@@ -62,8 +65,46 @@ TEMPLATES = [
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("apache", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("apache", "See the License for the specific language governing permissions and limitations under the License."),
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("mit", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("lgpl", "You should have received a copy of the GNU Lesser General Public License along with this library."),
+    ("agpl", "You should have received a copy of the GNU Affero General Public License along with this program."),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("isc", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
     ("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
 ]
+#: Identifiers of licences in tags.
+TAGS = {
+    "apache": ["Apache-2.0"],
+    "mit": ["MIT"],
+    "bsd": ["BSD-2-Clause", "BSD-3-Clause"],
+    "gpl": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "lgpl": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "agpl": ["AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "mpl": ["MPL-2.0"],
+    "epl": ["EPL-2.0"],
+    "cc-by": ["CC-BY-4.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0"],
+    "cc0": ["CC0-1.0"],
+    "unlicense": ["Unlicense"],
+    "isc": ["ISC"],
+    "zlib": ["Zlib"],
+    "boost": ["BSL-1.0"],
+}
+TEMPLATES += [(family, f"SPDX-License-Identifier: {tag}") for family, tags in TAGS.items() for tag in tags]
 _WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
 
 
@@ -91,8 +132,8 @@ def paragraphs(text: str, model: Model | None = None) -> Iterator[tuple[int, int
         at += len(line) + 1
 
 
-def _shingles(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+def _shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
 
 
 class Model:
@@ -105,9 +146,9 @@ class Model:
         self.keys = np.unique(np.concatenate([self._keys(np.array([self.words[w] for w in t]))[0] for t in texts]))
         self.weights = np.zeros((len(self.keys) + 2, len(self.families)), np.float32)
         self.temperature = 1.0
-        self.templates: dict[str, list[set[tuple[str, ...]]]] = {}
+        self.templates: dict[str, list[tuple[int, set[tuple[str, ...]]]]] = {}
         for (family, _), t in zip(TEMPLATES, texts):
-            self.templates.setdefault(family, []).append(_shingles(t))
+            self.templates.setdefault(family, []).append((min(SHINGLE, len(t)), _shingles(t)))
         self.sizes = [len(_shingles(t)) for t in texts]
         self.places: dict[tuple[str, ...], list[int]] = {}
         for i, t in enumerate(texts):
@@ -153,22 +194,20 @@ class Model:
 
     def logits(self, units: list[list[str]]) -> np.ndarray:
         unit, feature, value = self.features(units)
-        return np.stack([np.bincount(unit, self.weights[feature, c] * value, len(units)) for c in range(len(self.families))], axis=1)
+        order = np.argsort(unit, kind="stable")  # each unit has a constant, so none is without entries
+        unit, feature = unit[order], feature[order]
+        out = np.empty((len(units), len(self.families)), np.float32)
+        begins = np.searchsorted(unit, np.arange(len(units)))
+        for a in range(0, len(units), 256):
+            low, high = begins[a], begins[a + 256] if a + 256 < len(units) else len(unit)
+            out[a : a + 256] = np.add.reduceat(self.weights[feature[low:high]] * value[order[low:high], None], begins[a : a + 256] - low, axis=0)
+        return out
 
     def probabilities(self, units: list[list[str]]) -> np.ndarray:
         z = self.logits(units) / self.temperature
         p = np.exp(z - z.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
-    def stated(self, words: list[str]) -> bool:
-        """Whether two known words follow each other; without, no n-gram but single words speaks for a family."""
-        before = False
-        for known in map(self.words.__contains__, words):
-            if known and before:
-                return True
-            before = known
-        return False
-
     def notices(self, words: list[str]) -> list[tuple[int, int]]:
         """(first, past) of the stretches with SIMILARITY of a template's shingles, no more than WINDOW words between two.
 
@@ -208,10 +247,16 @@ class Model:
         return sorted(out)
 
     def confirmed(self, family: str, words: list[str]) -> bool:
-        own = _shingles(words)
-        return any(len(own & t) >= SIMILARITY * min(len(own), len(t)) for t in self.templates.get(family, []))
+        own: dict[int, set[tuple[str, ...]]] = {}
+        for n, template in self.templates.get(family, []):
+            if n not in own:
+                own[n] = _shingles(words, n)
+            shared = len(own[n] & template)
+            if shared >= SIMILARITY * min(len(own[n]), len(template)) and shared >= min(len(template), MIN_SHARED):
+                return True
+        return False
 
-    def fit(self, units: list[list[str]], labels: np.ndarray, steps: int = 150, ridge: float = 1e-4) -> None:
+    def fit(self, units: list[list[str]], labels: np.ndarray, steps: int = 120, ridge: float = 1e-4) -> None:
         unit, feature, value = self.features(units)
         n, classes = len(units), len(self.families)
         target = np.eye(classes, dtype=np.float32)[labels]
@@ -249,7 +294,7 @@ def _altered(words: list[str], filler: list[str], rng: np.random.Generator) -> l
     return out or words
 
 
-def train(texts: list[str | None], seed: int = 3, copies: int = 40) -> Model:
+def train(texts: list[str | None], seed: int = 3, copies: int = 24) -> Model:
     """texts: documents whose paragraphs are mostly not licences; those that a template confirms aren't trained on."""
     model, rng = Model(), np.random.default_rng(seed)
     plain = [w for t in texts for _, _, w, _ in paragraphs(t or "")]
@@ -278,12 +323,10 @@ def train(texts: list[str | None], seed: int = 3, copies: int = 40) -> Model:
 def scan(text: str | None, model: Model) -> list[dict]:
     """Findings in a text, in order."""
     units = list(paragraphs(text or "", model))
-    chosen = [i for i, u in enumerate(units) if model.stated(u[2])]
-    if not chosen:
+    if not units:
         return []
-    p = model.probabilities([units[i][2] for i in chosen])
     out = []
-    for i, q in zip(chosen, p):
+    for i, q in enumerate(model.probabilities([u[2] for u in units])):
         best = int(q.argmax())
         if best and q[best] >= MIN_PROBABILITY:
             start, end, _, words = units[i]
@@ -299,7 +342,7 @@ def license_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, findings (family, place, calibrated probability, whether a template confirms it), n_paragraphs."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chosen = rows.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNKNOWN_DOCS)
-    sample = rows.join(F.broadcast(chosen), "doc_id").toArrow()
+    sample = rows.where(F.coalesce(F.char_length("text"), F.lit(0)) <= MAX_CHARS).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toArrow()
     texts = sorted(t or "" for t in sample.column("text").to_pylist())
     shared = docs.sparkSession.sparkContext.broadcast(train(texts))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -316,11 +359,13 @@ def license_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
-    """For each document its confirmed families, and counts of findings."""
+    """For each document its families, confirmed and predicted ones, and counts of findings."""
     sure = F.filter("findings", lambda f: f["confirmed"])
+    named = lambda found: F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda f: f["family"]))), ",")
     return license_findings(docs).select(
         "doc_id",
-        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda f: f["family"]))), ",").alias("families"),
+        named(sure).alias("families"),
+        named(F.col("findings")).alias("predicted"),
         "n_paragraphs",
         F.size("findings").cast("long").alias("n_predicted"),
         F.size(sure).cast("long").alias("n_confirmed"),
