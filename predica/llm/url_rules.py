@@ -3,8 +3,8 @@
 A url becomes tokens of all its parts: scheme, registered domain, what stands before it, every host label, every path
 segment (the first two with their places too) and its words, file extension, all query keys, values and their words,
 fragment, depth. Spark's FP-growth mines the combinations that are frequent among labelled urls together with the label;
-of the rules `tokens => bad` those with enough support and confidence stay, and of these the ones without a shorter rule
-that is as confident. Rules are matched by an inverted index: each is listed under its rarest token, urls are looked up
+of the rules `tokens => bad` those with enough support and confidence stay whose confidence is above the share of bad urls
+by MIN_Z standard errors, and of these the ones without a shorter rule that is as confident. Rules are matched by an inverted index: each is listed under its rarest token, urls are looked up
 by their tokens, and the rule's other tokens are then checked.
 
 Tokens that are frequent and stand in exactly the same labelled urls are one item of the mining, and any of them fits
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, checkpointed
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Share of the labelled urls, rows, and share of bad ones that a rule needs.
-MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE = 0.001, 30, 0.6
+#: Share of the labelled urls, rows, and share of bad ones that a rule needs, and by how many standard errors its
+#: urls are more often bad than all.
+MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MIN_Z = 0.001, 30, 0.6, 3.0
 MAX_BROADCAST = 10_000
 BAD = "label:bad"
 
@@ -116,15 +117,16 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int =
 
     antecedent: for each item its tokens, one of which a url must have; token: those of the rarest item, a row for each.
     """
-    n = labelled.count()
+    n, share = labelled.agg(F.count("*"), F.avg(F.col("bad").cast("double"))).first()
     if not n:
         return labelled.sparkSession.createDataFrame([], "antecedent array<array<string>>, confidence double, rows double, token string")
     classes, items = items_of(labelled, max(min_support * n, min_rows))
     frequent = checkpointed(FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n))).fit(items).freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
     bad = frequent.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("antecedent"), F.col("freq").alias("rows"))
     rules = checkpointed(bad.join(frequent.select(F.col("items").alias("antecedent"), "freq"), "antecedent").select("antecedent", (F.col("rows") / F.col("freq")).alias("confidence"), F.col("rows").cast("double").alias("rows")))
+    error = F.sqrt(F.lit(share * (1 - share)) / (F.col("rows") / F.col("confidence")))
     longest = rules.agg(F.max(F.size("antecedent"))).first()[0] or 0
-    kept = shortest(rules, longest).where(F.col("confidence") >= min_confidence)
+    kept = shortest(rules, longest).where((F.col("confidence") >= min_confidence) & (F.col("confidence") - share >= MIN_Z * error))
     listed = kept.select(F.col("antecedent").alias("own"), "confidence", "rows", F.explode("antecedent").alias("item")).join(classes, "item")
     rarest = F.min_by("tokens", F.struct("freq", "item"))
     return checkpointed(listed.groupBy("own", "confidence", "rows").agg(F.collect_list("tokens").alias("antecedent"), rarest.alias("rarest")).select("antecedent", "confidence", "rows", F.explode("rarest").alias("token")))

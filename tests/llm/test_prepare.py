@@ -147,6 +147,44 @@ def test_mined_rules(spark):
     assert out == {i: "block" if "spam.com/shop" in u else "allow" for i, u, _ in rows}
 
 
+def test_rules_against_brute_force(spark):
+    """The mined rules are those of counting every combination of tokens; urls held out are judged by them."""
+    rng = random.Random(7)
+    urls = [f"http://{rng.choice('abc')}.com/{rng.choice(['x', 'y'])}/{rng.choice(['p', 'q', 'r'])}" for _ in range(1200)]
+    bad = [rng.random() < (0.9 if "a.com/x" in u else 0.7 if u.endswith("/r") else 0.1) for u in urls]
+    df = spark.createDataFrame([(u, b) for u, b in zip(urls[:800], bad)], "url string, bad boolean").select(url_rules.tokens(F.col("url")).alias("tokens"), "bad")
+    own = [(set(r.tokens), r.bad) for r in df.collect()]
+    rows = {}
+    for t in {x for s, _ in own for x in s}:
+        rows.setdefault(frozenset(i for i, (s, _) in enumerate(own) if t in s), set()).add(t)
+    rows = {k: v for k, v in rows.items() if len(k) >= 30}
+    sets, level = {}, {frozenset([min(v)]): k for k, v in rows.items()}
+    items, share = dict(level), sum(b for _, b in own) / len(own)
+    while level:
+        sets |= level
+        level = {a | b: k & m for a, k in level.items() for b, m in items.items() if not b <= a and len(k & m) >= 30}
+    good = lambda k: sum(own[i][1] for i in k) / len(k)
+    kept = {s for s, k in sets.items() if sum(own[i][1] for i in k) >= 30 and not any(good(sets[q]) >= good(k) for n in range(1, len(s)) for q in map(frozenset, __import__("itertools").combinations(s, n)))}
+    kept = {s: good(sets[s]) for s in kept if good(sets[s]) >= url_rules.MIN_CONFIDENCE and good(sets[s]) - share >= url_rules.MIN_Z * (share * (1 - share) / len(sets[s])) ** 0.5}
+    mined = {frozenset(min(item) for item in r.antecedent): r.confidence for r in url_rules.mine(df).collect()}
+    assert kept and set(mined) == set(kept) and all(abs(mined[s] - c) < 1e-9 for s, c in kept.items())
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - int(bad[i]), 0) for i in range(800)], "doc_id long, quality int, toxic int")
+    blocked = {r.page_id for r in url_rules.url_verdicts(pages, labels, rules=()).where("verdict = 'block' AND page_id >= 800").collect()}
+    right = sum(bad[i] for i in blocked)
+    assert right > 0.9 * url_rules.MIN_CONFIDENCE * len(blocked) and right > 0.7 * sum(bad[800:])
+
+
+def test_no_rules_by_chance(spark):
+    """Labels that have nothing to do with the urls make no rule, at any share of bad ones."""
+    rng = random.Random(8)
+    pages = spark.createDataFrame([(i, f"http://{rng.choice('abcdef')}.com/{rng.choice('uvwxyz')}") for i in range(900)], "page_id long, url string")
+    for part in (0.2, 0.6):
+        labels = spark.createDataFrame([(i, int(rng.random() > part), 0) for i in range(900)], "doc_id long, quality int, toxic int")
+        assert url_rules.url_verdicts(pages, labels, rules=()).where("verdict = 'block'").isEmpty()
+    assert url_rules.url_verdicts(pages.limit(0), labels).count() == 0
+
+
 def test_rules_of_any_part(spark):
     """A host label, a deep segment, a word of a slug, and a later query key or value each make a rule; a long url of
     tokens that always come together doesn't multiply the itemsets."""
@@ -258,6 +296,32 @@ def test_licenses(make, sample):
     assert license_scan.license_digest(make(rows).limit(0)).count() == 0
 
 
+def test_altered_licenses(sample):
+    """Templates with words lost, replaced and put in are still told by family; prose isn't."""
+    plain = [t for _, t in sample[0][:250]]
+    model, rng = license_scan.train(plain[:100]), np.random.default_rng(11)
+    found = total = 0
+    for family, text in license_scan.TEMPLATES:
+        words = license_scan.words_of(text)
+        for _ in range(6):
+            own = license_scan._altered(words, ["river", "stone", "walked", "green"], rng) if len(words) > 5 else words
+            total += 1
+            found += family in {f["family"] for f in license_scan.scan(" ".join(own), model)}
+    assert found >= 0.9 * total
+    told = [f for t in plain[100:] for f in license_scan.scan(t, model) if not f["confirmed"]]
+    lines = sum(t.count("\n") + 1 for t in plain[100:] if t)
+    assert len(told) < 0.01 * lines
+    assert not any(f["confirmed"] for f in license_scan.scan("in source and binary forms, with or without", model))
+    tag = license_scan.scan("x = 1  # SPDX-License-Identifier: GPL-3.0-only, copyright by the authors of this file", model)
+    assert {f["family"] for f in tag if f["confirmed"]} == {"gpl"}
+
+
+def test_license_odd_rows(make):
+    rows = [(None, "Released under the MIT License."), (1, None), (1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, "x " * 30000 + "Licensed under CC BY 4.0 by the authors.")]
+    out = sorted((-1 if r.doc_id is None else r.doc_id, r.families) for r in license_scan.license_digest(make(rows)).collect())
+    assert out == [(-1, "mit"), (1, ""), (1, "mit"), (1, "mit"), (2, "cc-by")]
+
+
 def test_license_templates():
     model = license_scan.train([])
     for family, text in license_scan.TEMPLATES:
@@ -352,7 +416,14 @@ def test_gradients():
         z = net.logits(x, mask).astype(float)
         return float((w * (np.log1p(np.exp(z)) - y * z)).sum() / w.sum())
 
-    grads = net.gradients(x, mask, y, w)
+    grads, d_x = net.gradients(x, mask, y, w)
+    for at in ((0, 0, 1), (2, 1, 5), (4, 0, 15), (1, 3, 0)):
+        x[at] += 1e-3
+        up = loss()
+        x[at] -= 2e-3
+        down = loss()
+        x[at] += 1e-3
+        assert abs((up - down) / 2e-3 - d_x[at]) < 2e-3, at
     for k, p in net.p.items():
         for i in rng.choice(p.size, min(3, p.size), replace=False):
             at, step = np.unravel_index(i, p.shape), 1e-3
@@ -386,6 +457,44 @@ def test_toxicity(spark, make):
     assert all(abs(r.score - out[r.doc_id].score) < 1e-5 for r in toxicity.toxicity(docs, changed).collect())
 
 
+def test_learned_inputs():
+    """Words and their characters are both learned; nothing but the recurrent states reaches the output."""
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("lorem", "ipsum", "dolor", "amet") for b in ("", "is", "um", "orum", "e")]
+    make_text = lambda bad: " ".join(rng.choice(words) if not bad or rng.random() > 0.05 else rng.choice(("vile", "scummy", "scumbag")) for _ in range(90))
+    labels = [i % 3 == 0 for i in range(240)]
+    model = toxicity.train([make_text(b) for b in labels], [int(b) for b in labels])
+    tests = [(make_text(b), b) for b in [True] * 40 + [False] * 40]
+    auc = lambda m: np.mean([(x > y) + 0.5 * (x == y) for x in m.scores([t for t, b in tests if b]) for y in m.scores([t for t, b in tests if not b])])
+    assert auc(model) > 0.97
+    unseen = model.scores([" ".join(words + ["scummily"] * 3 + words), " ".join(words * 2)])
+    assert unseen[0] > unseen[1]  # by its characters alone
+    tables, model.inputs.tables = model.inputs.tables, tuple(t * 0 for t in model.inputs.tables)
+    model._forget()
+    assert auc(model) > 0.8  # by the embeddings alone
+    model.inputs.tables, embeddings = tables, (model.inputs.words, model.inputs.grams)
+    model.inputs.words, model.inputs.grams = (e * 0 for e in embeddings)
+    model._forget()
+    assert auc(model) > 0.8  # by the evidence alone
+    model.inputs.words, model.inputs.grams = embeddings
+    model._forget()
+    for k in ("wf", "wb", "uf", "ub", "cf", "cb"):
+        model.network.p[k] = model.network.p[k] * 0
+    assert auc(model) == 0.5
+
+
+def test_long_texts_have_the_same_windows(monkeypatch):
+    """Blocks of a very long text change neither its windows nor their number."""
+    labels = [i % 2 for i in range(60)]
+    model = toxicity.train(["plain words here " * 10 + "scum " * b for b in labels], labels)
+    n = 32 * 7 + 19
+    text = " ".join(f"w{i % 97}" for i in range(n)) + " scum"
+    whole = model.logits([text])
+    monkeypatch.setattr(toxicity, "BLOCK_WINDOWS", 3)
+    parts = model.logits([text])
+    assert abs(whole[0] - parts[0]).max() < 1e-5 and whole[1] == parts[1] == len(toxicity.window_starts(n + 1))
+
+
 def test_toxicity_of_odd_rows(spark, make):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     rows = [(i, "nice words and more " + "scum " * (i % 2)) for i in range(40)] + [(100, None), (101, ""), (102, "... !!"), (103, "scum"), (104, "fine " * 5000 + "scum " + "fine " * 5000), (105, "fine " * 10000), (None, "x")]
@@ -509,6 +618,11 @@ def test_sniffing(spark):
     assert out[6].length == len(GIF) and out[6].embedded[0].start == len(GIF)
 
 
+def test_media_of_no_rows(spark, make):
+    assert media.text_media(make([(1, "x")]).limit(0)).count() == 0
+    assert media.sniff_media(spark.createDataFrame([], "i int, content binary, declared string"), "i", "content", "declared").count() == 0
+
+
 def test_text_media(make):
     rows = [(1, "plain"), (2, None), (3, ""), (4, "é" * 32), (5, "%PDF-1.4 RIFF GIF89a"), (6, "x" * 3_000_000), (7, "plain")]
     out = {r.doc_id: r for r in media.text_media(make(rows)).collect()}
@@ -542,6 +656,21 @@ def test_stages(spark, make):
     assert stages.packed(out).select("sequence_id").distinct().count() >= 1
 
 
+def test_stages_of_repeated_ids(spark, make):
+    """Different texts of one id both stay, copies don't, and null ids give way to others."""
+    words = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, words), (1, other), (1, other), (2, words + " end"), (None, other + " end"), (None, "something else"), (3, None), (3, "")]
+    kept = [(r.doc_id, r.text or "") for r in stages.without_near_copies(make(rows)).select("doc_id", "text").collect()]
+    assert sorted(kept, key=repr) == sorted([(1, words), (1, other), (None, "something else"), (3, "")], key=repr)
+    assert stages.without_near_copies(make(rows).limit(0)).count() == 0
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(i, "nice words and more " + "scum " * (i % 2)) for i in range(40)] + [(None, "scum scum"), (50, None), (51, "fine words"), (51, "fine words")]
+    left = sorted((r.doc_id, r.text) for r in stages.without_toxic(make(rows), labels).where("doc_id >= 50").select("doc_id", "text").collect())
+    assert left[-2:] == [(51, "fine words")] * 2 and stages.without_toxic(make(rows), labels).where("doc_id IS NULL").isEmpty()
+    assert stages.without_toxic(make(rows).limit(0), labels).count() == stages.packed(make(rows).limit(0)).count() == 0
+
+
 def near_kept(rows):
     """Ids that near deduplication keeps, by brute force."""
     def grams(t):
