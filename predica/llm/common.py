@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -28,17 +29,25 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return [front + n for n in names]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only in local mode without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="predica-")
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the cluster's shared checkpoint folder.
+    """Cuts the lineage through the cluster's shared checkpoint folder (see shared_folder()).
 
-    The folder is the one named in spark.checkpoint.dir; only where that is unset (tests on one machine) a
-    temporary folder takes its place. Lost executors don't matter: the files are in the shared folder.
+    Lost executors don't matter: the files are in the shared folder.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="predica-checkpoint-"))
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(spark))
     # A checkpoint can't resolve the columns of the partitioning that a union may report.
     key = "spark.sql.unionOutputPartitioning"
     before = spark.conf.get(key, None)
