@@ -50,8 +50,10 @@ HIDDEN_WORDS, HIDDEN_WINDOWS, HIDDEN_EVIDENCE = 0.4, 0.65, 0.2
 #: Batches that an epoch has at least.
 LEAST_BATCHES = 16
 THRESHOLD = 0.3
-#: So many words' inputs are remembered between batches, and so many windows of a text are scored together.
-CACHE_WORDS, BLOCK_WINDOWS = 200_000, 1 << 12
+#: So many words' inputs are remembered between batches; windows of a text that are read, and windows that are scored, together.
+CACHE_WORDS, BLOCK_WINDOWS, BATCH = 200_000, 1 << 12, 1 << 10
+#: Words whose n-grams are made together.
+PART = 20_000
 _SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -102,7 +104,7 @@ class _Grams:
         return np.concatenate([b for _, b in found])[order].astype(np.int32), number
 
 
-def _parts(words: list[bytes], size: int = 40_000) -> Iterator[tuple[int, _Grams]]:
+def _parts(words: list[bytes], size: int = PART) -> Iterator[tuple[int, _Grams]]:
     for at in range(0, len(words), size):
         yield at, _Grams(words[at : at + size])
 
@@ -132,15 +134,16 @@ class Inputs:
         self.grams = rng.normal(0, 0.2, (1 << GRAM_BITS, GRAM_DIM)).astype(np.float32)
 
     def means(self, buckets: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Mean embedding of the n-grams of each word."""
-        return np.add.reduceat(self.grams[buckets >> TABLE_BITS - GRAM_BITS], np.cumsum(number) - number, axis=0) / number[:, None].astype(np.float32)
+        """Mean embedding of the n-grams of each word; buckets are those of embeddings."""
+        return np.add.reduceat(self.grams[buckets], np.cumsum(number) - number, axis=0) / number[:, None].astype(np.float32)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         """(words, INPUTS) network inputs."""
         out = []
         for at, g in _parts(words):
             grams = g.by_word()
-            out.append(np.concatenate((self.words[[self.known.get(w, 0) for w in words[at : at + len(g.lengths)]]], self.means(*grams), _said(self.tables, g.words, *grams)), axis=1))
+            means = self.means(grams[0] >> TABLE_BITS - GRAM_BITS, grams[1])
+            out.append(np.concatenate((self.words[[self.known.get(w, 0) for w in words[at : at + len(g.lengths)]]], means, _said(self.tables, g.words, *grams)), axis=1))
         return np.concatenate(out) if out else np.zeros((0, INPUTS), np.float32)
 
 
@@ -289,7 +292,7 @@ def _windows(firsts: np.ndarray, lengths: np.ndarray, padding: int) -> tuple[np.
 def _cuts(lengths: np.ndarray, order: np.ndarray) -> Iterator[np.ndarray]:
     """Windows in parts: whole windows, then the others; order is by length."""
     full = int((lengths == WINDOW).sum())
-    cuts = [*range(0, full, 2048), *range(full, len(order), 2048), len(order)]
+    cuts = [*range(0, full, BATCH), *range(full, len(order), BATCH), len(order)]
     return (order[a:b] for a, b in zip(cuts, cuts[1:]) if b > a)
 
 
@@ -394,19 +397,36 @@ def _vocabulary(texts: list[str | None]) -> tuple[list[bytes], list[np.ndarray]]
     return list(vocabulary), docs
 
 
-def _tallies(docs: list[np.ndarray], y: np.ndarray, fold: np.ndarray, own_bucket: np.ndarray, buckets: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents that words and n-grams are in: (FOLDS, class, bucket) each."""
-    size, owner = 1 << TABLE_BITS, np.repeat(np.arange(len(number)), number)
-    out = np.zeros((FOLDS, 2, size), np.float32), np.zeros((FOLDS, 2, size), np.float32)
-    for k in range(FOLDS):
-        for c in range(2):
-            seen = np.zeros(len(number), np.int64)
-            for i in np.flatnonzero((fold == k) & (y == c)):
-                seen[np.unique(docs[i])] += 1
-            out[0][k, c] = np.bincount(own_bucket, seen, size)
-            some = np.flatnonzero(seen[owner])
-            out[1][k, c] = np.bincount(buckets[some], seen[owner[some]], size)
-    return out
+def _tables(tallies: np.ndarray, without: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence of words and of n-grams, without the documents of a fold."""
+    kept = [k for k in range(FOLDS) if k != without]
+    return tuple(_evidence(*(t[kept, c].sum(axis=0, dtype=np.float64) for c in (1, 0))) for t in tallies)
+
+
+def _told(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(embedding buckets of all words' n-grams, number of each word's, evidence for (fold, word), tables of all folds).
+
+    counts: documents by fold, class and word. N-grams are made in parts of the vocabulary, so that they take little memory.
+    """
+    size, buckets, number = 1 << TABLE_BITS, [], []
+    tallies = np.zeros((2, FOLDS, 2, size), np.float32)
+    for at, g in _parts(words):
+        own, (b, n) = counts[:, :, at : at + len(g.lengths)], g.by_word()
+        buckets.append((b >> TABLE_BITS - GRAM_BITS).astype(np.uint16))
+        number.append(n.astype(np.int32))
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        for k in range(FOLDS):
+            for c in range(2):
+                tallies[0, k, c] += np.bincount(g.words, own[k, c], size)
+                tallies[1, k, c] += np.bincount(b, own[k, c][owner], size)
+    folds = [_tables(tallies, k) for k in range(FOLDS)]
+    said = np.zeros((FOLDS, len(words) + 1, EVIDENCE), np.float32)  # the last is padding
+    for at, g in _parts(words):
+        grams = g.by_word()
+        for k in range(FOLDS):
+            said[k, at : at + len(g.lengths)] = _said(folds[k], g.words, *grams)
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return join(buckets, np.uint16), join(number, np.int32), said, _tables(tallies, None)
 
 
 def train(texts: list[str | None], labels: list[int], share: float | None = None, epochs: int = EPOCHS, seed: int = 7) -> Model:
@@ -416,27 +436,26 @@ def train(texts: list[str | None], labels: list[int], share: float | None = None
     if not len(y) or y.min() == y.max():
         return Model(None, None, np.zeros(3), share)
     words, docs = _vocabulary(texts)
-    seen = np.zeros(len(words), np.int64)
-    for ids in docs:
-        seen[np.unique(ids)] += 1
-    often = np.flatnonzero(seen >= MIN_DOCS)
-    often = np.sort(often[np.argsort(-seen[often], kind="stable")[:MAX_WORDS]])
     rng = np.random.default_rng(seed)
-    parts = [(g.words, *g.by_word()) for _, g in _parts(words)]
-    own_bucket, buckets, number = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
-    del parts
     fold = rng.permutation(len(docs)) % FOLDS
-    tallies = _tallies(docs, y, fold, own_bucket, buckets, number)
-    tables = lambda without: tuple(_evidence(*(t[[k for k in range(FOLDS) if k != without], c].sum(axis=0, dtype=np.float64) for c in (1, 0))) for t in tallies)
-    said = np.concatenate([np.stack([_said(tables(k), own_bucket, buckets, number) for k in range(FOLDS)]) if len(words) else np.zeros((FOLDS, 0, EVIDENCE)), np.zeros((FOLDS, 1, EVIDENCE))], axis=1).astype(np.float32)
-    inputs, network = Inputs([words[i] for i in often], tables(None), seed), Network(seed)
-    del tallies
+    counts = np.zeros((FOLDS, 2, len(words)), np.int32)
+    for ids, k, label in zip(docs, fold, y):
+        counts[k, int(label), np.unique(ids)] += 1
+    seen = counts.sum(axis=(0, 1))
+    often = np.flatnonzero(seen >= MIN_DOCS)
+    often = np.sort(often[np.argsort(-seen[often], kind="stable")[:MAX_WORDS]])
+    buckets, number, said, tables = _told(words, counts)
+    inputs, network = Inputs([words[i] for i in often], tables, seed), Network(seed)
     model = Model(inputs, network, np.array([0.0, 1.0, 0.0]), share)
+    words = len(words)
+    del counts, seen
     begin = np.cumsum(number) - number
-    known = np.zeros(len(words) + 1, np.int64)
+    known = np.zeros(words + 1, np.int32)
     known[often] = np.arange(1, len(often) + 1)
     sizes = np.array([len(d) for d in docs])
-    flat = np.concatenate([*docs, [len(words)]])  # the last is padding
+    rising = np.concatenate([[0.0], *(said[k, ids, :2].sum(axis=1) for ids, k in zip(docs, fold))]).cumsum()
+    flat = np.concatenate([*docs, np.array([words], np.int32)])  # the last is padding
+    del docs
     starts = [np.array(window_starts(n)) for n in sizes]
     offset, count = np.concatenate(([0], np.cumsum(sizes))), np.array([len(s) for s in starts])
     first = np.concatenate([o + s for o, s in zip(offset, starts)])
@@ -445,8 +464,12 @@ def train(texts: list[str | None], labels: list[int], share: float | None = None
     steps = _Adam(network.p, 0.02), _Adagrad(inputs.words, 0.1), _Adagrad(inputs.grams, 0.1)
 
     def logits_of_all() -> np.ndarray:
-        table = np.concatenate((inputs.words[known[:-1]], inputs.means(buckets, number)), axis=1) if len(words) else np.zeros((0, LEARNED), np.float32)
-        table = np.concatenate((table, np.zeros((1, LEARNED), np.float32)))
+        table = np.zeros((words + 1, LEARNED), np.float32)
+        table[:-1, :WORD_DIM] = inputs.words[known[:-1]]
+        for a in range(0, words, PART):
+            own = slice(a, min(a + PART, words))
+            grams = slice(begin[a], begin[own.stop] if own.stop < words else len(buckets))
+            table[own, WORD_DIM:] = inputs.means(buckets[grams], number[own])
         out = np.zeros(len(first), np.float32)
         for own in _cuts(length, np.argsort(-length, kind="stable")):
             at, mask = _windows(first[own], length[own], len(flat) - 1)
@@ -458,7 +481,7 @@ def train(texts: list[str | None], labels: list[int], share: float | None = None
         at, mask = _windows(first[own], length[own], len(flat) - 1)
         ids = flat[at]
         distinct, place = np.unique(ids, return_inverse=True)
-        there = distinct[distinct < len(words)]
+        there = distinct[distinct < words]
         table = np.zeros((len(distinct), LEARNED), np.float32)
         rows = np.where(rng.random(len(there)) < HIDDEN_WORDS, 0, known[there])
         table[: len(there), :WORD_DIM] = inputs.words[rows]
@@ -475,11 +498,10 @@ def train(texts: list[str | None], labels: list[int], share: float | None = None
         steps[0].step(g)
         if len(there):
             steps[1].step(rows, d[:, :WORD_DIM], scale)
-            steps[2].step(grams >> TABLE_BITS - GRAM_BITS, np.repeat(d[:, WORD_DIM:] / many[:, None], many, axis=0), scale)
+            steps[2].step(grams, np.repeat(d[:, WORD_DIM:] / many[:, None], many, axis=0), scale)
 
     toxic, clean = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
     # The first choice of windows: where the evidence is.
-    rising = np.concatenate(([0], np.cumsum(said[np.repeat(fold, sizes), flat[:-1], :2].sum(axis=1, dtype=np.float64))))
     logits = rising[first + length] - rising[first]
     for epoch in range(epochs):
         if epoch and epoch % 4 == 0:
