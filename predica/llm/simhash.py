@@ -7,7 +7,7 @@ on signatures finds every link, where exact segments would need four of 16 bits
 
 Only distinct fingerprints are indexed: a group of copies is one entry. Rows that share a signature arrive sorted and are
 verified in a stream; of a signature's links only a spanning forest is emitted, never all pairs. A long list is cut
-further by the eight-bit pieces of the fingerprint before pairs are compared (see forest()).
+further, again and again, by the eight-bit pieces of the fingerprint before pairs are compared (see forest()).
 
 Defined cases: null text is empty; a text without words has fingerprint zero and links like any other; fewer words than a
 shingle give one shingle of the whole sequence; repeated rows share a component; null ids never become a component's id
@@ -96,17 +96,22 @@ def forest(values: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:
     """Edges that connect what the links among distinct uint64 values connect.
 
     Values that differ in at most `bits` < 4 bits agree in one of any four disjoint pieces. A long list is therefore cut
-    four times, by each eight-bit piece of the half in which its values vary more, and each part is treated by itself.
+    four times, by each of the four eight-bit pieces in which its values vary most, and each part is treated by itself: if
+    it is still long, it is cut by the pieces that its values don't all agree in by now.
     """
-    if len(values) <= LIST:
+    return _cut(values, bits, tuple(range(0, 64, 8)))
+
+
+def _cut(values: np.ndarray, bits: int, pieces: tuple[int, ...]) -> list[tuple[int, int]]:
+    if len(values) <= LIST or len(pieces) < 4:
         return _tree(values, bits)
-    half = int(len(np.unique(values >> np.uint64(32))) > len(np.unique(values & np.uint64(0xFFFFFFFF))))
+    keys = {p: (values >> np.uint64(p)) & np.uint64(255) for p in pieces}
     out = []
-    for piece in range(4):
-        keys = (values >> np.uint64(32 * half + 8 * piece)) & np.uint64(255)
-        order = np.argsort(keys, kind="stable")
-        for part in np.split(values[order], np.flatnonzero(np.diff(keys[order])) + 1):
-            out += _tree(part, bits)
+    for piece in sorted(pieces, key=lambda p: -len(np.unique(keys[p])))[:4]:
+        order = np.argsort(keys[piece], kind="stable")
+        left = tuple(p for p in pieces if p != piece)
+        for part in np.split(values[order], np.flatnonzero(np.diff(keys[piece][order])) + 1):
+            out += _cut(part, bits, left)
     return out
 
 
@@ -165,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp, component_id) for each row; component_id is the smallest id of the rows that links reach."""
     rows = checkpointed(fingerprints(docs, id_col, text_col, shingle_words))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(links(distinct.select("fp"), bits))
+    roots = connected_components(checkpointed(links(distinct.select("fp"), bits)))
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rows.join(labelled.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
