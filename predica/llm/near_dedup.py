@@ -1,19 +1,17 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash finds candidates, the shingles decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash finds candidates, the shingles decide.
 
 Documents link where their sets of five-word shingles (A-Z lower-cased) have a similarity of SIMILARITY or more. Texts of
-equal sets are one entry. An entry has BANDS bands of ROWS minimal hashes each; entries that share a band are candidates,
-and candidates link if their whole sets are similar. First each entry meets the least one of each of its bands. Where a
-band then has entries without a common link, all of its entries are compared with its central one, which shares the most
-bands with the others. Those that aren't similar to it meet the others, but only if they can be similar by what either
-lacks of the centre and has besides it (see _most_common()).
-
-A link of similarity s has no common band with a probability of (1 - s**ROWS)**BANDS: 0.00005 at 0.8, 0.0000000001 at 0.9.
-Nothing else is missed, and nothing below the similarity is linked.
-
-Scale: texts are read twice, the second time only those of candidates; a band's least entry comes from a partial
-aggregation, so a large group of near copies adds two rows for each of its entries and band. Other pairs are only made with
-entries that aren't similar to the centre, where the bound allows a link; an entry's sketch has a fixed size. Defined cases: null
-text is empty; texts without words link with each other; fewer words than a
+equal sets are one entry. Entries that share a cluster of simhash.clusters(), one-wildcard signatures of a wide SimHash of the
+set, are candidates, and candidates link if their whole sets are similar. That is found in three rounds: each entry with the
+nearest lesser one, each set of linked entries with the nearest other one, then all candidates that aren't linked by then,
+but for those that can't be similar by their marks (simhash.pairs()). The first two rounds only make the third one short.
+
+A link is missed with the probabilities that simhash.clusters() states: 0.000002 at 0.8, 0.00016 for texts of eight and nine
+words, less for others. Nothing else is missed, and nothing below the similarity is linked.
+
+Scale: texts are read twice, the second time only those of candidates; pairs are made within clusters, in tasks, and only
+those that may link leave a task. A cluster is one task's: of a crowd of linked entries only the others meet all. An entry's
+sketch has a fixed size. Defined cases: null text is empty; texts without words link with each other; fewer words than a
 shingle give one shingle of all; null ids never become a component's id unless it has no other; other columns are ignored;
 an empty table gives an empty result.
 """
@@ -25,18 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 from .graph import connected_components
-from .simhash import SEED, shingles
+from .simhash import SEED, clusters, marks, pairs, shingles, wide_fingerprint
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 5
-#: Parts of the shingles' hashes by which differences from a centre are told apart.
-BINS = 256
-COMPARED = "a long, b long, n long, size long, same boolean, missing long, missing_bins array<long>, extra long, extra_bins array<long>"
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -45,25 +39,6 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)))
 
 
-def _factors() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    return rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None] | np.uint64(1), rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None]
-
-
-def bands(own: np.ndarray) -> list[int]:
-    """A hash of each band and its number; none for the empty set."""
-    if not len(own):
-        return []
-    a, b = _FACTORS
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(own), 2048):  # a very long text takes no more memory than a block
-        least = np.minimum(least, (own[at : at + 2048] * a + b).min(axis=1))
-    return [xxhash.xxh64_intdigest(least[ROWS * i : ROWS * (i + 1)].tobytes(), i) - (1 << 63) for i in range(BANDS)]
-
-
-_FACTORS = _factors()
-
-
 def _body(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
 
@@ -75,8 +50,8 @@ def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = _sets(batch)
-        columns = [pa.array([_body(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "body", "n", "bands"])
+        columns = [pa.array([_body(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f(s) for s in sets], pa.list_(pa.int64())) for f in (wide_fingerprint, marks))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "body", "n", "fp", "marks"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,26 +74,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(yes), batch.column("b").filter(yes)], names=["a", "b"])
 
 
-def _bins(hashes: np.ndarray) -> list[int]:
-    """A bit for each of BINS parts of the hashes that has one, as bigints."""
-    out = np.zeros(BINS, bool)
-    out[(hashes % np.uint64(BINS)).astype(np.int64)] = True
-    return np.packbits(out).view(np.int64).tolist()
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries a and their centres b: whether they are similar, and what the one has and the other hasn't."""
-    names = COMPARED.replace(",", "").split(" ")[::2]
-    for batch in batches:
-        out = []
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "own_a", "own_b"))):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            missing, extra = np.setdiff1d(y, x, True), np.setdiff1d(x, y, True)
-            out.append((a, b, len(x), len(y), similar(x, y), len(missing), _bins(missing), len(extra), _bins(extra)))
-        longs, bits = pa.int64(), pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 9, (longs, longs, longs, longs, pa.bool_(), longs, bits, longs, bits))], names=names)
-
-
 def _sets_of(bodies: DataFrame, entries: DataFrame, texts: DataFrame) -> DataFrame:
     """(body, own) of the entries whose bodies are given, and maybe of others: their sets as sorted 64-bit hashes."""
     wanted = bodies.distinct().join(entries, "body").select(F.col("first_id").alias("wanted_id")).distinct()
@@ -138,70 +93,25 @@ def _linked(pairs: DataFrame, entries: DataFrame, texts: DataFrame) -> DataFrame
     return checkpointed(_with_sets(pairs, entries, texts).mapInArrow(_verify, "a long, b long"))
 
 
-def _labels(edges: DataFrame) -> DataFrame:
-    """(body, label) of linked entries: the least entry that one has a link with, or itself. Equal labels are linked; different
-    ones may be, so whatever goes by them is done once more than needed, never less."""
-    both = edges.select(F.col("a").alias("body"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("body"), F.col("a").alias("other")))
-    return both.groupBy("body").agg(F.min(F.least("body", "other")).alias("label"))
-
-
-def _open(shared: DataFrame, edges: DataFrame) -> DataFrame:
-    """(band, body) of the bands with entries of several labels."""
-    labelled = shared.select("band", "body").join(_labels(edges), "body", "left").withColumn("label", F.coalesce("label", "body"))
-    several = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    return checkpointed(shared.select("band", "body").join(several, "band", "left_semi"))
-
-
-def _centres(open_: DataFrame) -> DataFrame:
-    """(band, centre): the entry of each band that shares the most bands with the most entries."""
-    members = open_.groupBy("band").agg(F.count("*").alias("members"))
-    popular = open_.select("band", "body").join(members, "band").groupBy("body").agg(F.sum("members").alias("popular"))
-    return open_.join(popular, "body").groupBy("band").agg(F.max(F.struct("popular", "body"))["body"].alias("centre"))
-
-
-def _most_common() -> Column:
-    """A bound on the common shingles of entries 1 and 2, from what either lacks of their centre and has besides it.
-
-    They have in common what neither lacks of the centre, and what both have besides it. A bin with a missing shingle
-    stands for one at least; a bin that only one of them has stands for one at least that the other hasn't.
-    """
-    words = range(BINS // 64)
-    lacking = sum((F.bit_count(F.col("missing_bins1")[i].bitwiseOR(F.col("missing_bins2")[i])) for i in words), F.lit(0))
-    both = [F.col(f"extra{k}") - sum((F.bit_count(F.col(f"extra_bins{k}")[i].bitwiseAND(F.bitwise_not(F.col(f"extra_bins{3 - k}")[i]))) for i in words), F.lit(0)) for k in (1, 2)]
-    return F.col("size1") - F.greatest(lacking, "missing1", "missing2") + F.least(*both)
-
-
-def _rest(open_: DataFrame, centres: DataFrame, compared: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs of a band's entries of different labels that may be similar.
-
-    Entries that are similar to the centre are linked by it and meet only those that aren't, never each other.
-    """
-    named = open_.join(centres, "band").join(compared.withColumnsRenamed({"a": "body", "b": "centre"}), ["body", "centre"])
-    named = checkpointed(named.join(_labels(edges), "body", "left").withColumn("label", F.coalesce("label", "body")))
-    one, other = (named.select("band", *(F.col(c).alias(f"{c}{i}") for c in named.columns if c != "band")) for i in (1, 2))
-    meet = one.where("NOT same1").join(other, "band").where("label1 != label2 AND (same2 OR body1 > body2)")
-    possible = (1 + SIMILARITY) * _most_common() + 1e-6 >= SIMILARITY * (F.col("n1") + F.col("n2"))
-    return checkpointed(meet.where(possible).select(F.greatest("body1", "body2").alias("a"), F.least("body1", "body2").alias("b")).distinct())
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, body, component_id) for each row; component_id is the smallest id of the rows that links reach."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    rows = checkpointed(texts.mapInArrow(_sketch, f"doc_id {id_type}, body long, n long, bands array<long>"))
+    rows = checkpointed(texts.mapInArrow(_sketch, f"doc_id {id_type}, body long, n long, fp array<long>, marks array<long>"))
     entries = checkpointed(rows.groupBy("body").agg(F.min("doc_id").alias("first_id")))
-    listed = rows.dropDuplicates(["body"]).select("body", "n", F.explode("bands").alias("band"))
-    least = listed.groupBy("band").agg(F.min(F.struct("body", "n")).alias("least"), F.count("*").alias("members")).where("members > 1").select("band", "least")
-    shared = checkpointed(listed.join(least, "band"))
-    sizes_fit = F.least("n", "least.n") >= SIMILARITY * F.greatest("n", "least.n")
-    pairs = checkpointed(shared.where(F.col("body") != F.col("least.body")).where(sizes_fit).select(F.col("body").alias("a"), F.col("least.body").alias("b")).distinct())
-    edges = _linked(pairs, entries, texts)
-    open_ = _open(shared, edges)
-    centres = checkpointed(_centres(open_))
-    spokes = open_.join(centres, "band").select(F.col("body").alias("a"), F.col("centre").alias("b")).distinct()
-    compared = checkpointed(_with_sets(spokes, entries, texts).mapInArrow(_compare, COMPARED))
-    edges = edges.union(compared.where("same AND a != b").select("a", "b"))
-    edges = edges.union(_linked(_rest(open_, centres, compared, edges), entries, texts))
+    found = clusters(rows.where("n > 0").dropDuplicates(["body"]).select(F.col("body").alias("id"), "n", "fp"))
+    sketches = rows.select(F.col("body").alias("id"), "fp", "marks").dropDuplicates(["id"])
+    members = checkpointed(found.join(sketches.drop("marks"), "id"))
+    wanted = members.select(F.col("id").alias("body")).distinct().join(entries, "body").select(F.col("first_id").alias("wanted_id")).distinct()
+    texts = checkpointed(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi"))
+    edges = _linked(checkpointed(pairs(members.withColumn("label", F.col("id")), "first")), entries, texts)
+    for mode in ("nearest", "all"):
+        labels = connected_components(edges)
+        labelled = members.join(labels, members.id == labels.node, "left").withColumn("label", F.coalesce("root", "id"))
+        if mode == "all":
+            several = labelled.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("cluster")
+            labelled = labelled.join(several, "cluster").join(sketches.select("id", "marks"), "id")
+        edges = edges.union(_linked(checkpointed(pairs(labelled, mode)), entries, texts))
     roots = connected_components(edges)
     joined = entries.join(roots, entries.body == roots.node, "left").select("body", "first_id", F.coalesce("root", "body").alias("root"))
     ids = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 import pytest
 import xxhash
 
-from predica.llm import bwt, exact_dedup, simhash, suffix_dedup
+from predica.llm import bwt, exact_dedup, near_dedup, simhash, suffix_dedup
 from predica.llm.common import bit_table, in_bit_table
 from predica.llm.graph import connected_components
 
@@ -262,6 +262,58 @@ def test_signatures_that_span_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def wide_sets(rng, n):
+    """Sets of hashes: random ones, near copies of some of them, and a crowd around one."""
+    new = lambda k: rng.integers(0, 1 << 64, k, np.uint64)
+    sets = [new(k) for k in rng.integers(1, 200, n)]
+    crowd = new(100)
+    for _ in range(n):
+        own = crowd if rng.random() < 0.5 else sets[rng.integers(n)]
+        sets.append(np.concatenate((own[int(rng.integers(0, 1 + len(own) // 6)) :], new(int(rng.integers(0, 1 + len(own) // 6))))))
+    return {i: np.unique(x) for i, x in enumerate(sets)}
+
+
+@pytest.mark.parametrize("crowd", [20, 10**9])
+def test_clusters(spark, monkeypatch, crowd):
+    """All pairs of a Jaccard similarity of 0.8 share a cluster of the wide SimHash's lists, and all open ones are told."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    sets = wide_sets(np.random.default_rng(8), 150)
+    code, ids = [], []
+    fps = {i: simhash.wide_fingerprint(x) for i, x in sets.items()}
+    for i, x in sets.items():
+        parts = fps[i].view(np.uint8).astype(np.int64)
+        code += [(k << 48) | (int(parts[k]) << 40) | (int(parts[k ^ 1]) << 32) | len(x) for k in range(len(parts))]
+        ids += [i] * len(parts)
+    order = np.argsort(code, kind="stable")
+    code, ids = np.array(code)[order], np.array(ids)[order]
+    words = np.array([fps[i] for i in ids]).T[:3]
+    label = simhash._labels(code, words.view(np.uint64))
+    together = {(a, b) for m in np.unique(label) for a in ids[label == m] for b in ids[label == m] if a < b}
+    schema = "id long, n long, fp array<long>, marks array<long>"
+    table = spark.createDataFrame([(i, len(x), fps[i].tolist(), simhash.marks(x).tolist()) for i, x in sets.items()], schema)
+    found = simhash.clusters(table.drop("marks"))
+    members = {}
+    for r in found.collect():
+        assert r.n == len(sets[r.id])
+        members.setdefault(r.cluster, []).append(r.id)
+    assert {(a, b) for m in members.values() for a in m for b in m if a < b} == together
+    links = {(a, b) for a in sets for b in sets if a < b and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    assert len(links) > 500 and links <= together
+    labelled = found.join(table.drop("n"), "id").selectExpr("cluster", "id", "id % 7 AS label", "n", "fp", "marks")
+    open_ = {(r.b, r.a) for r in simhash.pairs(labelled, "all").collect()}
+    assert {(a, b) for a, b in links if a % 7 != b % 7} <= open_ <= together
+
+
+def test_near_copies_come_through_simhash(make, monkeypatch):
+    """The stage's candidates are those of the wide SimHash's lists, by no other way."""
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = make([(1, words), (2, words + " end"), (3, words.upper()), (4, "else")])
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    found = simhash.clusters
+    monkeypatch.setattr(near_dedup, "clusters", lambda wide: found(wide).limit(0))
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, b) for b in range(101, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(7, 7), (None, 3)]
