@@ -105,14 +105,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select(F.col("id").alias("body")).distinct().join(entries, "body").select(F.col("first_id").alias("wanted_id")).distinct()
     texts = checkpointed(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi"))
     edges = _linked(checkpointed(pairs(members.withColumn("label", F.col("id")), "first")), entries, texts)
+    labels = connected_components(edges)
     for mode in ("nearest", "all"):
-        labels = connected_components(edges)
         labelled = members.join(labels, members.id == labels.node, "left").withColumn("label", F.coalesce("root", "id"))
         if mode == "all":
             several = labelled.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("cluster")
             labelled = labelled.join(several, "cluster").join(sketches.select("id", "marks"), "id")
-        edges = edges.union(_linked(checkpointed(pairs(labelled, mode)), entries, texts))
-    roots = connected_components(edges)
-    joined = entries.join(roots, entries.body == roots.node, "left").select("body", "first_id", F.coalesce("root", "body").alias("root"))
+        edges = _linked(checkpointed(pairs(labelled, mode)), entries, texts)
+        labels = connected_components(labels.toDF("a", "b").union(edges))  # what was linked before is in the labels
+    joined = entries.join(labels, entries.body == labels.node, "left").select("body", "first_id", F.coalesce("root", "body").alias("root"))
     ids = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "body").join(joined.join(ids, "root").select("body", "component_id"), "body").select("doc_id", "body", "component_id")

@@ -24,7 +24,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     go; null ids are scored but not trained on; without labels of both kinds every document has the share of toxic ones as
     its score; no documents give none.
     """
-    model = toxicity.train(*toxicity.training_sample(docs, labels))
+    model = toxicity.trained(docs, labels)
     (score,) = unused(docs, "score")
     return toxicity.score(docs, model, keep=docs.columns, name=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 20_000
 WINDOW, STRIDE = 48, 32
 HIDDEN = 8
@@ -559,8 +561,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return chosen.mapInArrow(run, schema).toDF(*keep, name)
 
 
+def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of the labelled documents; what its training took of the driver's memory is given back."""
+    model = train(*training_sample(docs, labels))
+    give_back()
+    return model
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
-    model = train(*training_sample(docs, labels))
+    model = trained(docs, labels)
     out = score(docs, model)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 import pytest
 import xxhash
 
-from predica.llm import bwt, exact_dedup, near_dedup, simhash, suffix_dedup
+from predica.llm import bwt, exact_dedup, graph, near_dedup, simhash, suffix_dedup
 from predica.llm.common import bit_table, in_bit_table
 from predica.llm.graph import connected_components
 
@@ -330,3 +330,29 @@ def test_components(spark):
 def test_empty_tables(make):
     empty = make([(1, "x")]).limit(0)
     assert suffix_dedup.remove_repeats(empty).count() == exact_dedup.exact_groups(empty).count() == simhash.simhash_digest(empty).count() == 0
+
+
+def test_components_end_with_the_round_that_settles_them(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df, kept=graph.checkpointed: rounds.append(1) or kept(df))
+    edges = [(i, 0) for i in range(1, 9)] + [(20, 11), (11, 20), (20, 20)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(9)} | {(11, 11), (20, 11)}
+    assert len(rounds) == 1
+    rounds.clear()
+    # A result's edges stand for what led to it: with one more edge between its stars, two rounds at most.
+    more = connected_components(got.toDF("a", "b").union(spark.createDataFrame([(20, 5)], "a long, b long")))
+    assert {(r.node, r.root) for r in more.collect()} == {(i, 0) for i in [*range(9), 11, 20]}
+    assert len(rounds) <= 2
+
+
+def test_near_copies_across_rounds_are_one_component(spark, make, monkeypatch):
+    """Each round's links are joined with those of the rounds before, not with them alone."""
+    given = {"first": [(1, 0), (3, 2), (5, 4)], "nearest": [(2, 1)], "all": [(4, 3)]}
+    rows = [(i, f"text {i} of a few words of its own {i * i}") for i in range(7)]
+    df = make(rows)
+    bodies = {i: near_dedup._body(near_dedup.shingle_set(t.encode())) for i, t in rows}
+    now = iter(given)
+    monkeypatch.setattr(near_dedup, "_linked", lambda *_: spark.createDataFrame([(bodies[a], bodies[b]) for a, b in given[next(now)]], "a long, b long"))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 6}

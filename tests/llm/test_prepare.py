@@ -4,6 +4,9 @@ import gzip
 import hashlib
 import importlib.util
 import io as bytes_io
+import mmap
+import pathlib
+import platform
 import random
 import re
 import struct
@@ -740,6 +743,23 @@ def test_stages_against_brute_force(spark, make):
     assert pieces == tokens
 
 
+@pytest.mark.skipif(platform.libc_ver()[0] != "glibc", reason="glibc keeps what is freed")
+def test_training_gives_memory_back(spark, monkeypatch):
+    """What training frees doesn't stay with the driver."""
+    def resident():
+        return int(pathlib.Path("/proc/self/statm").read_text().split()[1]) * mmap.PAGESIZE / 1e6
+
+    def train(*_):
+        held.append([bytes(1000) for _ in range(200_000)][-1])  # the last stays on top of 200 MB that are freed
+        used.append(resident())
+
+    held, used = [], []
+    monkeypatch.setattr(toxicity, "train", train)
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    toxicity.trained(df, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert used[0] - resident() > 100 and held
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
 def test_pipeline(spark):
     import corpus_pipeline
