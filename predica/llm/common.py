@@ -8,6 +8,7 @@ import re
 import tempfile
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,10 +65,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def give_back() -> None:
-    """Gives the memory that this Python process has freed back to the system; C libraries other than glibc do it themselves or not at all."""
+def give_back(spark: SparkSession | None = None) -> None:
+    """Gives the memory that this Python process, and the driver's JVM if there is a session, have freed back to the system.
+
+    Plans, their code and the threads of shuffles and broadcasts leave free pages all over the JVM's C heap, and its Java heap
+    shrinks in a full collection only. C libraries other than glibc, and JVMs without the command, give back by themselves
+    or not at all.
+    """
     with contextlib.suppress(OSError, AttributeError, TypeError):
         ctypes.CDLL(None).malloc_trim(0)
+    if spark is not None:
+        spark._jvm.System.gc()
+        with contextlib.suppress(Py4JError):
+            trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> str:
+    """Gives free pages of the JVM's C heap back; what the JVM says of it."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+
+    def filled(kind, *items):
+        out = array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    # By reflection on the interface: Py4J finds no methods of a class that its module doesn't export.
+    kinds = filled(jvm.java.lang.Class, *map(of, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    given = filled(jvm.Object, command, "systemTrimNativeHeap", filled(jvm.Object), filled(jvm.String))
+    return of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
 def ascii_lower(col: Column) -> Column:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, give_back
 from .graph import connected_components
 from .simhash import SEED, clusters, marks, pairs, shingles, wide_fingerprint
 
@@ -39,6 +39,13 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df checkpointed; the driver gives back what planning and running it has left, as these plans are the pipeline's largest."""
+    out = checkpointed(df)
+    give_back(df.sparkSession)
+    return out
+
+
 def _body(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
 
@@ -90,28 +97,29 @@ def _with_sets(pairs: DataFrame, entries: DataFrame, texts: DataFrame) -> DataFr
 
 def _linked(pairs: DataFrame, entries: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of entries whose sets are similar."""
-    return checkpointed(_with_sets(pairs, entries, texts).mapInArrow(_verify, "a long, b long"))
+    return _kept(_with_sets(pairs, entries, texts).mapInArrow(_verify, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, body, component_id) for each row; component_id is the smallest id of the rows that links reach."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    rows = checkpointed(texts.mapInArrow(_sketch, f"doc_id {id_type}, body long, n long, fp array<long>, marks array<long>"))
-    entries = checkpointed(rows.groupBy("body").agg(F.min("doc_id").alias("first_id")))
+    rows = _kept(texts.mapInArrow(_sketch, f"doc_id {id_type}, body long, n long, fp array<long>, marks array<long>"))
+    entries = _kept(rows.groupBy("body").agg(F.min("doc_id").alias("first_id")))
     found = clusters(rows.where("n > 0").dropDuplicates(["body"]).select(F.col("body").alias("id"), "n", "fp"))
     sketches = rows.select(F.col("body").alias("id"), "fp", "marks").dropDuplicates(["id"])
-    members = checkpointed(found.join(sketches.drop("marks"), "id"))
+    members = _kept(found.join(sketches.drop("marks"), "id"))
     wanted = members.select(F.col("id").alias("body")).distinct().join(entries, "body").select(F.col("first_id").alias("wanted_id")).distinct()
-    texts = checkpointed(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi"))
-    edges = _linked(checkpointed(pairs(members.withColumn("label", F.col("id")), "first")), entries, texts)
+    texts = _kept(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi"))
+    edges = _linked(_kept(pairs(members.withColumn("label", F.col("id")), "first")), entries, texts)
     labels = connected_components(edges)
     for mode in ("nearest", "all"):
+        give_back(docs.sparkSession)
         labelled = members.join(labels, members.id == labels.node, "left").withColumn("label", F.coalesce("root", "id"))
         if mode == "all":
             several = labelled.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("cluster")
             labelled = labelled.join(several, "cluster").join(sketches.select("id", "marks"), "id")
-        edges = _linked(checkpointed(pairs(labelled, mode)), entries, texts)
+        edges = _linked(_kept(pairs(labelled, mode)), entries, texts)
         labels = connected_components(labels.toDF("a", "b").union(edges))  # what was linked before is in the labels
     joined = entries.join(labels, entries.body == labels.node, "left").select("body", "first_id", F.coalesce("root", "body").alias("root"))
     ids = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -298,9 +298,9 @@ def _labels(code: np.ndarray, words: np.ndarray) -> np.ndarray:
 def _clustered(block: np.ndarray) -> pa.RecordBatch:
     label = _labels(block[0], block[2:].view(np.uint64))
     members = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
-    names = np.zeros(len(label), np.uint64)
-    np.add.at(names, label[members], _mixed(block[1, members].view(np.uint64)))
-    columns = [names[label[members]].view(np.int64), block[1, members], block[0, members] & 0xFFFFFFFF]
+    names = np.full(len(label), np.iinfo(np.int64).max)
+    np.minimum.at(names, label[members], block[1, members])
+    columns = [names[label[members]], block[1, members], block[0, members] & 0xFFFFFFFF]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cluster", "id", "n"])
 
 
@@ -387,8 +387,9 @@ def clusters(wide: DataFrame) -> DataFrame:
     n is a set's size, fp its wide_fingerprint(). Two sets are in one cluster if they agree in one of the 48 segments of 16
     bits but for one bit at most, differ in no more bits than MOST says, and have sizes that fit. The segment's wildcard is
     in one of its two bytes, so both are listed under the other byte, and of a list those meet whose other bytes differ in one
-    bit or none. Clusters are components of such pairs in a list; their names are made of their members, so that the same
-    members found in many lists are one cluster.
+    bit or none. Clusters are components of such pairs in a list, named by their least id: those of many lists with the
+    same least id are one cluster, so that a member of a crowd, whose lists' components differ by a few, is in few clusters
+    instead of one for each list.
 
     Sets of a Jaccard similarity of s have a cosine of 2s / (1 + s) or more, and differ in a bit with a probability of its
     arccosine / pi at most: 0.152 at 0.8. Such a pair is missed with a probability of 2e-6, by the segments, MOST, FIRST and

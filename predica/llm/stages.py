@@ -1,7 +1,8 @@
 """Stages of a corpus pipeline: a DataFrame of documents in, the documents that stay out, with the same columns.
 
 Documents have the columns doc_id, text and source; any others are carried along. Null text is empty; of rows that repeat
-an id and a text, exact deduplication keeps one.
+an id and a text, exact deduplication keeps one. Each stage begins by giving back what the driver has freed, so that the stages
+before it don't add to its memory.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exact_dedup, near_dedup, packing, source_mix, toxicity
-from .common import unused
+from .common import give_back, unused
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -24,6 +25,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     go; null ids are scored but not trained on; without labels of both kinds every document has the share of toxic ones as
     its score; no documents give none.
     """
+    give_back(docs.sparkSession)
     model = toxicity.trained(docs, labels)
     (score,) = unused(docs, "score")
     return toxicity.score(docs, model, keep=docs.columns, name=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
@@ -49,6 +51,7 @@ def _repeats_ids(docs: DataFrame) -> bool:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """One document of each group of equal normalised texts."""
+    give_back(docs.sparkSession)
     digest, kept_id, kept_digest = unused(docs, "digest", "kept_id", "kept_digest")
     kept = exact_dedup.exact_groups(docs).where("kept").select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept_digest))
     joined = _with_digest(docs, digest).join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest)), "left_semi")
@@ -63,6 +66,7 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     Null ids come last. Where ids repeat, documents are told apart by their texts too: of a component's rows of the
     smallest id, the one of the smallest digest stays, and different texts with one id that aren't near copies all stay.
     """
+    give_back(docs.sparkSession)
     key, kept_key = unused(docs, "key", "kept_key")
     repeats = _repeats_ids(docs)
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")) if repeats else F.col("doc_id")
@@ -74,6 +78,7 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """Documents as often as the mix reads them; where a reading ends inside a text, its first words."""
+    give_back(docs.sparkSession)
     out = source_mix.mixed_documents(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -84,4 +89,5 @@ def packed(docs: DataFrame) -> DataFrame:
     Null and empty texts are pieces of one id, the end mark; repeated rows and ids are packed each by itself; pieces of one
     length may change places, which are equally good; no documents give no pieces.
     """
+    give_back(docs.sparkSession)
     return packing.pack(docs)

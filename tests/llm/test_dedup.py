@@ -304,6 +304,19 @@ def test_clusters(spark, monkeypatch, crowd):
     assert {(a, b) for a, b in links if a % 7 != b % 7} <= open_ <= together
 
 
+def test_members_of_a_crowd_are_in_few_clusters(spark):
+    """Lists of a crowd differ by a few members; a member isn't in a cluster for each of them."""
+    rng = np.random.default_rng(3)
+    base, rows = rng.integers(0, 1 << 64, 100, dtype=np.uint64), []
+    for i in range(60):
+        own = base.copy()
+        own[rng.choice(100, 4, replace=False)] = rng.integers(0, 1 << 64, 4, dtype=np.uint64)
+        rows.append((i, len(own), simhash.wide_fingerprint(own).tolist()))
+    found = simhash.clusters(spark.createDataFrame(rows, "id long, n long, fp array<long>")).collect()
+    assert {r.id for r in found} == set(range(60))
+    assert len(found) < 20 * 60
+
+
 def test_near_copies_come_through_simhash(make, monkeypatch):
     """The stage's candidates are those of the wide SimHash's lists, by no other way."""
     words = " ".join(f"w{i}" for i in range(60))
